@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op3_token_output, op8_token_counts
+from . import op1_quality_crf, op2_language_id, op3_token_output, op4_sharding, op7_mixing, op8_token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,16 +16,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_crf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return op1_quality_crf.rate(docs, op1_quality_crf.fit(docs, table(spark, sf_dir, "labels"))).drop("content_lines")
+
+
+def op2_language_id_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op3_token_output_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_token_output.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_sharding_minimax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_sharding.assign(table(spark, sf_dir, "documents"))
+
+
+def op7_mixing_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts_two_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_token_output_orc, op8_token_counts_two_tier)}
+    return {f.__name__: f for f in (
+        op1_quality_crf_lines, op2_language_id_bayes, op3_token_output_orc, op4_sharding_minimax, op7_mixing_entropy, op8_token_counts_two_tier,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
