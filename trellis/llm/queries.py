@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_quality_crf, op2_language_id, op3_token_output, op4_sharding, op7_mixing, op8_token_counts
+from . import op1_quality_crf, op2_language_id, op3_token_output, op4_sharding, op5_jaccard_join, op7_mixing, op8_token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +33,10 @@ def op4_sharding_minimax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_sharding.assign(table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard_join_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -43,7 +47,7 @@ def op8_token_counts_two_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        op1_quality_crf_lines, op2_language_id_bayes, op3_token_output_orc, op4_sharding_minimax, op7_mixing_entropy, op8_token_counts_two_tier,
+        op1_quality_crf_lines, op2_language_id_bayes, op3_token_output_orc, op4_sharding_minimax, op5_jaccard_join_trie, op7_mixing_entropy, op8_token_counts_two_tier,
     )}
 
 
