@@ -249,3 +249,17 @@ def rate(docs: DataFrame, chain: Chain, least_share: float = LEAST_SHARE, id_col
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, SCHEMA)
+
+
+def keep(docs: DataFrame, chain: Chain, least_share: float = LEAST_SHARE, text_col: str = "text") -> DataFrame:
+    """The rows of docs that are kept, all columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(chain)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            texts = b.column(at).to_pylist()
+            for a, z in chunks(texts):
+                yield b.slice(a, z - a).filter(judge(texts[a:z], shared.value, least_share)[6])
+
+    return docs.mapInArrow(run, docs.schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_quality_crf, op10_decontamination, op2_language_id, op3_token_output, op4_sharding, op5_jaccard_join, op6_warc, op7_mixing, op8_token_counts
+from . import op1_quality_crf, op10_decontamination, op2_language_id, op3_token_output, op4_sharding, op5_jaccard_join, op6_warc, op7_mixing, op8_token_counts, op9_license_scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,13 +49,17 @@ def op8_token_counts_two_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op9_license_scan_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        op1_quality_crf_lines, op2_language_id_bayes, op3_token_output_orc, op4_sharding_minimax, op5_jaccard_join_trie, op6_warc_chain, op7_mixing_entropy, op8_token_counts_two_tier, op10_decontamination_align,
+        op1_quality_crf_lines, op2_language_id_bayes, op3_token_output_orc, op4_sharding_minimax, op5_jaccard_join_trie, op6_warc_chain, op7_mixing_entropy, op8_token_counts_two_tier, op9_license_scan_paragraphs, op10_decontamination_align,
     )}
 
 
