@@ -88,28 +88,35 @@ class Places:
         return a, high
 
     def unknown(self, windows: list[tuple[int, int]]) -> list[tuple[int, int]]:
-        """Blocks (p, q] of several groups, maybe, that touch the windows; neighbours merged."""
+        """Of each window the span (p, q] of the blocks in it that may hold several groups; touching spans merged."""
         out: list[tuple[int, int]] = []
         for lo, hi in sorted(windows):
-            i = max(0, bisect_left(self.at, lo) - 1)
+            i, span = max(0, bisect_left(self.at, lo) - 1), None
             while i + 1 < len(self.at) and self.at[i] <= hi:
                 p, q = self.at[i], self.at[i + 1]
-                if self.before[q] != p and (not out or p >= out[-1][1]):
-                    if out and out[-1][1] == p:
-                        out[-1] = (out[-1][0], q)
-                    else:
-                        out.append((p, q))
+                if self.before[q] != p:
+                    span = (span[0] if span else p, q)
                 i += 1
+            if span and out and span[0] <= out[-1][1]:
+                out[-1] = (out[-1][0], max(out[-1][1], span[1]))
+            elif span:
+                out.append(span)
         return out
 
 
-def read_places(groups: DataFrame, blocks: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """About READ of the prefix sums in blocks: the last one, with its group's size, of each of as many equal ranges."""
-    width = max(1, -(-sum(q - p for p, q in blocks) // READ))
-    inside = F.lit(False)
-    for p, q in blocks:
-        inside = inside | ((F.col("upto") > p) & (F.col("upto") <= q))
-    found = groups.where(inside & (F.col("bytes") > 0)).groupBy(F.floor((F.col("upto") - 1) / F.lit(width)).alias("range")).agg(F.max(F.struct("upto", "bytes")).alias("m"))
+def finer(blocks: list[tuple[int, int]], width: int) -> int:
+    """The next width to read with: READ ranges in blocks, and at most half the last width, so that reading always gets on."""
+    return max(1, min(width // 2, sum(q - p for p, q in blocks) // READ))
+
+
+def read_places(groups: DataFrame, blocks: list[tuple[int, int]], width: int) -> list[tuple[int, int]]:
+    """The last prefix sum, with its group's size, of each range of width bytes in blocks."""
+
+    def inside(a: int, b: int):  # a balanced tree, each node bounded by the span of its blocks
+        bounds = (F.col("upto") > blocks[a][0]) & (F.col("upto") <= blocks[b - 1][1])
+        return bounds if b - a == 1 else bounds & (inside(a, (a + b) // 2) | inside((a + b) // 2, b))
+
+    found = groups.where(inside(0, len(blocks)) & (F.col("bytes") > 0)).groupBy(F.floor((F.col("upto") - 1) / F.lit(width)).alias("range")).agg(F.max(F.struct("upto", "bytes")).alias("m"))
     return [(r.m.upto, r.m.bytes) for r in found.collect()]
 
 
@@ -117,7 +124,8 @@ def smallest_capacity(groups: DataFrame, total: int, largest: int, shards: int)
     """The smallest capacity by which the groups (upto, bytes) fit into shards, and the places known then."""
     places = Places(total, largest)
     low, high = max(-(-total // shards), largest) - 1, total
-    places.add(read_places(groups, [(0, total)]))
+    width = max(1, total // READ)
+    places.add(read_places(groups, [(0, total)], width))
     while True:
         low, high = places.bracket(low, high, shards)
         if high - low <= 1:
@@ -127,9 +135,8 @@ def smallest_capacity(groups: DataFrame, total: int, largest: int, shards: int)
             early.append(max(places.sure(early[-1], low + 1), min(total, early[-1] + low + 1 - largest)))
             late.append(places.best(late[-1], high))
         blocks = places.unknown(list(zip(early[1:], late[1:])))
-        if not blocks:
-            raise AssertionError("the bracket is open but every place is known")
-        places.add(read_places(groups, blocks))
+        width = finer(blocks, width)
+        places.add(read_places(groups, blocks, width))
 
 
 def even_cuts(places: Places, capacity: int, shards: int) -> list[int]:
@@ -188,7 +195,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, overhead: int = OVERHEAD, id_c
         capacity, places = smallest_capacity(upto, rest, largest, left)
         share = rest // left
         if blocks := places.unknown([(k * share - share // 64, k * share + share // 64) for k in range(1, left)]):
-            places.add(read_places(upto, blocks))
+            places.add(read_places(upto, blocks, finer(blocks, rest)))
         cuts = even_cuts(places, capacity, left)
     shard = F.lit(len(alone))
     for c in cuts:
