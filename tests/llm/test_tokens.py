@@ -19,7 +19,7 @@ def rows(spark, texts=NASTY):
 
 def fuzz(n=300):
     rng = random.Random(5)
-    letters = "ab cé\n  ▁'s1,.<|>ßΣ\t"
+    letters = "ab cé\n  ▁'s1,.<|>ßΣ\t\x1c\xa0\x85İÉªſʰ̇"
     return ["".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(n)]
 
 

@@ -3,8 +3,8 @@
 Documents are range-partitioned by id, so each file holds one range of ids in
 order and its footer, stripe and row-group statistics prune by doc_id; the
 Bloom filter prunes point lookups. Each row holds its ids as array<int> (ORC
-encodes integers by run-length encoding v2) and the number of ids before it in
-its file. File totals, one small row a file, turn that into the place among
+encodes integers by run-length encoding v2), their number and the number of ids
+before it in its file. File totals, one small row a file, turn that into the place among
 all documents. Spark reads the files by stripes, in parallel.
 
 Null text is the empty text: its only id is the end id. Equal doc_ids are
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -27,8 +28,10 @@ from pyspark.sql import functions as F
 from . import store
 
 END_ID = 2
-#: Entries of a worker's word cache and piece cache; longer words are never kept.
-CACHED, LONGEST_KEPT = 600_000, 64
+#: Entries of each of the two generations of a worker's word cache and piece cache; longer words are never kept.
+CACHED, LONGEST_KEPT = 350_000, 64
+#: Marks that end a word without joining what stands before (an apostrophe may).
+STOPS = ".,;:!?"
 ORC = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20)}
 
 
@@ -40,8 +43,28 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
-class Words(dict):
-    """Ids of a white-space free word, as little-endian unsigned 32-bit integers.
+class Recent(dict):
+    """A cache in two generations: when the young one is full it becomes the old one, and what is asked for again moves up."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+            if len(key) > LONGEST_KEPT:
+                return value
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+class Words:
+    """Ids of white-space free words, as little-endian unsigned 32-bit integers.
 
     The tokenizer drops white space and never matches across it, so a text's
     ids are its words' ids in order. A miss goes to the library: its normaliser
@@ -50,72 +73,63 @@ class Words(dict):
     """
 
     def __init__(self, path: str):
-        super().__init__()
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             rules = json.load(f)
         self.whole = Tokenizer.from_file(path)
-        self.model, self.normal = self.whole.model, self.whole.normalizer.normalize_str
-        self.special = [t["content"] for t in rules["added_tokens"]]
+        self.model, self.normal = self.whole.model.tokenize, self.whole.normalizer.normalize_str
+        self.special = [t["content"].encode() for t in rules["added_tokens"]]
         self.split = regex.compile(rules["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
         self.letters = _byte_letters()
-        self.pieces: dict[str, bytes] = {}
+        self.pieces = Recent(self.piece, CACHED).__getitem__
+        self.get = Recent(self.word, CACHED).__getitem__
 
     def piece(self, p: str) -> bytes:
-        ids = self.pieces.get(p)
-        if ids is None:
-            spelt = p if p.isascii() and p.isprintable() else "".join([self.letters[b] for b in p.encode()])
-            ids = np.array([t.id for t in self.model.tokenize(spelt)], "<u4").tobytes()
-            if len(p) <= LONGEST_KEPT:
-                if len(self.pieces) >= CACHED:
-                    self.pieces.clear()
-                self.pieces[p] = ids
-        return ids
-
-    def __missing__(self, word: bytes) -> bytes:
-        text = word.decode()
-        if any(s in text for s in self.special):
-            ids = np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        elif word.isalpha():
-            ids = self.piece(text.lower())
-        else:
-            ids = b"".join(map(self.piece, self.split(text.lower() if word.isascii() else self.normal(text))))
-        if len(word) <= LONGEST_KEPT:
-            if len(self) >= CACHED:
-                self.clear()
-            self[word] = ids
-        return ids
+        spelt = p if p.isascii() and p.isprintable() else "".join([self.letters[b] for b in p.encode()])
+        return array("I", [t.id for t in self.model(spelt)]).tobytes()
+
+    def word(self, w: bytes) -> bytes:
+        if w.isalpha():
+            return self.pieces(w.decode().lower())
+        if b"<" in w and any(s in w for s in self.special):
+            return array("I", self.whole.encode(w.decode(), add_special_tokens=False).ids).tobytes()
+        text = w.decode()
+        body, mark = (text[:-1], text[-1]) if text[-1] in STOPS else (text, "")
+        # Latin letters below U+0250 are normal as they stand; U+0130 alone has a lower case of two characters
+        if body.isalpha() and max(body) < "\u0250" and "\u0130" not in body:
+            return self.pieces(body.lower()) + (self.pieces(mark) if mark else b"")
+        return b"".join(map(self.pieces, self.split(text.lower() if w.isascii() else self.normal(text))))
 
 
 _words: dict[str, Words] = {}  # of this worker, kept from task to task
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> None:
-    """Encode every text and write (doc_id, ids, n_before) files in ascending doc_id order."""
+    """Encode every text and write (doc_id, ids, n_before, n_tokens) files in ascending doc_id order."""
 
     def encode(batches):
         words = _words.get(tokenizer_path) or _words.setdefault(tokenizer_path, Words(tokenizer_path))
-        get, end, before = words.__getitem__, np.array([end_id], "<u4").tobytes(), 0
+        get, end, before = words.get, np.array([end_id], "<u4").tobytes(), 0
         for b in batches:
             rows = [b"".join(map(get, (t or "").encode().split())) + end for t in b.column(1).to_pylist()]
             n = np.array([len(r) // 4 for r in rows], np.int64)
             offsets = np.concatenate([[0], np.cumsum(n)])
             ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.frombuffer(b"".join(rows), "<i4")))
-            yield pa.RecordBatch.from_arrays([b.column(0), ids, pa.array(before + offsets[:-1])], ["doc_id", "ids", "n_before"])
+            yield pa.RecordBatch.from_arrays([b.column(0), ids, pa.array(before + offsets[:-1]), pa.array(n)], ["doc_id", "ids", "n_before", "n_tokens"])
             before += int(offsets[-1])
 
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ranges = rows.repartitionByRange(store.shuffle_partitions(spark), F.col("doc_id").asc_nulls_first())
-    ranges.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").mapInArrow(encode, "doc_id long, ids array<int>, n_before long").write.options(**ORC).orc(path)
+    ranges.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").mapInArrow(encode, "doc_id long, ids array<int>, n_before long, n_tokens long").write.options(**ORC).orc(path)
 
 
 def read_tokens(spark: SparkSession, path: str, low: int | None = None, high: int | None = None) -> DataFrame:
     """doc_id, ids, start (ids of all documents before it). low, high: only doc_ids within, pruned by ORC's indexes."""
-    data = spark.read.schema("doc_id long, ids array<int>, n_before long").orc(path)
+    data = spark.read.schema("doc_id long, ids array<int>, n_before long, n_tokens long").orc(path)
     part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int")
-    files = data.select(part.alias("part"), (F.col("n_before") + F.size("ids")).alias("n")).groupBy("part").agg(F.max("n").alias("n"))
+    files = data.select(part.alias("part"), (F.col("n_before") + F.col("n_tokens")).alias("n")).groupBy("part").agg(F.max("n").alias("n"))
     # one row a file, each file a task's whole output: small at any size
     places = files.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("file_start"))
     rows = data.select("doc_id", "ids", "n_before", part.alias("part"))
