@@ -9,7 +9,7 @@ from ..functions import paths, scoring
 from ..functions import text as tx
 from ..schemas import Index
 
-RANKED = [F.desc("score"), "path_rank", "file_path", "line", "column", "symbol", "why_matched"]
+RANKED = ["path_rank", "file_path", "line", "column", "symbol", "why_matched"]
 MATCH = ["file_path", "line", "column", "symbol", "why_matched", "confidence", "score"]
 
 
@@ -57,7 +57,7 @@ def rank(matches: DataFrame, limit: int | None = None, scope: str = "all", file:
     if language:
         ok = ok & (paths.language(p) == language.lower())
     out = matches.where(ok).withColumn("score", scoring.preference(F.col("score"), p, include_fixtures, prefer_file, prefer_language)).withColumn("path_rank", paths.class_rank(p))
-    out = out.orderBy(*RANKED)
+    out = out.orderBy(F.desc("score"), *RANKED)
     return (out if limit is None else out.limit(limit)).drop("path_rank")
 
 

@@ -126,7 +126,7 @@ GAPS = (
     "FROM (SELECT s.symbol, s.line_count AS raw, max(s.end_line - s.start_line + 1) AS span, coalesce(max(m.test_files), 0) AS hits FROM symbols s LEFT JOIN {m} m USING (symbol) WHERE s.kind = 'function' AND {w} GROUP BY s.symbol, s.line_count)"
 )
 OLD_NEW = ", old AS (SELECT file_path, CASE WHEN doc_id % 5 = 0 THEN 'old' ELSE content_hash END AS h FROM files WHERE doc_id % 7 <> 0), new AS (SELECT file_path, content_hash AS h FROM files WHERE doc_id % 11 <> 0) "
-SPARSE = "(a * 7 + b) % 600 = 0"
+SPARSE = "(a * 7 + b) % 2700 = 0"
 CYCLES = f""", pairs AS (SELECT DISTINCT s_file AS f, t_file AS t FROM named WHERE s_file <> t_file AND {SPARSE}
 ), reach AS (SELECT f, t FROM pairs UNION SELECT r.f, p.t FROM reach r JOIN pairs p ON p.f = r.t
 ), scc AS (SELECT r.f AS node, min(least(r.f, r.t)) AS c FROM reach r JOIN reach q ON q.f = r.t AND q.t = r.f WHERE r.f <> r.t GROUP BY ALL
@@ -177,9 +177,9 @@ def oracle_sql() -> dict[str, str]:
         "tokens_summary": c + "SELECT language, count(*) AS tokens, sum(line)::BIGINT AS lines, sum(\"column\")::BIGINT AS columns, count(DISTINCT symbol) AS names FROM tokens GROUP BY ALL",
         "symbols_summary": c + "SELECT language, kind, count(*) AS symbols, sum(start_column)::BIGINT AS columns, sum(line_count)::BIGINT AS lines, count(DISTINCT symbol) AS names FROM symbols GROUP BY ALL",
         "find_ast": c + _fallback(DEFS, n),
-        "find_text_fallback": c + _fallback(DEFS, "hehewhst"),
+        "find_text_fallback": c + _fallback(DEFS, "thatin"),
         "refs_ast": c + _fallback(REFS, part),
-        "refs_text_fallback": c + _fallback(REFS, "thhewhst"),
+        "refs_text_fallback": c + _fallback(REFS, "ononst"),
         "find_scoped": c + _fallback(DEFS, "wh_he", f"AND {CODE} AND NOT {TEST}"),
         "find_ranked": c + f"""SELECT file_path, line, "column", symbol, why_matched, confidence, round(new_score, 6) AS score FROM (SELECT *, greatest(0::DOUBLE, score - CASE WHEN {FIXTURE} THEN 0.25 WHEN {TEST} THEN 0.10 ELSE 0 END::DOUBLE + CASE WHEN file_path = 'src/src3/d43.rs' THEN 0.30 ELSE 0 END::DOUBLE
  + CASE WHEN {LANGUAGE} = 'rust' THEN 0.15 ELSE 0 END::DOUBLE) AS new_score, CASE WHEN {TEST} THEN 1 WHEN {CODE} THEN 0 ELSE 2 END AS path_rank FROM ({_fallback(DEFS, n)}) WHERE NOT (file_path LIKE 'src/src1/%' OR (file_path LIKE 'tests/%' AND regexp_matches(file_path, '^tests/.*?/d2.*_test\\.rs$')))) ORDER BY new_score DESC, path_rank, file_path, line, "column", symbol, why_matched LIMIT 25""",
@@ -188,12 +188,12 @@ def oracle_sql() -> dict[str, str]:
         "did_you_mean": c + "SELECT DISTINCT symbol FROM symbols WHERE symbol ILIKE '%ther%' ORDER BY length(symbol), symbol LIMIT 5",
         "resolve_candidates": c + f"SELECT symbol_id, symbol, qualified_symbol, kind, language, file_path, start_line AS line, signature FROM (SELECT * FROM symbols WHERE symbol ILIKE '%{n}%' ORDER BY symbol = '{n}' DESC, symbol, file_path, start_line LIMIT 50) WHERE kind = 'function'",
         "batch_query": c + f"""SELECT '1' AS id, 'find' AS command, *, NULL::VARCHAR AS error FROM ({DEFS.format(n)}) UNION ALL SELECT '2', 'refs', *, NULL FROM ({REFS.format(n)}) UNION ALL SELECT '3', 'find', *, NULL FROM ({_fallback(DEFS, 'nosuchname')})
- UNION ALL SELECT '4', 'find', *, NULL FROM ({_fallback(DEFS, 'hehewhst')}) UNION ALL SELECT '5', 'drop', NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'unsupported command: drop'""",
+ UNION ALL SELECT '4', 'find', *, NULL FROM ({_fallback(DEFS, 'thatin')}) UNION ALL SELECT '5', 'drop', NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'unsupported command: drop'""",
         "snippet": c + f"""SELECT s.symbol, s.kind, s.file_path, s.start_line, s.end_line, trim(array_to_string(f.parts[greatest(s.start_line - 1, 1):s.end_line + 1], chr(10)), ' ') AS snippet, s.signature FROM symbols s JOIN files f USING (file_path) WHERE s.symbol = '{part}'""",
         "callers": s + f"SELECT DISTINCT {PLACE.replace('s.symbol, s.kind, s.file_path', 's.file_path, s.symbol, s.kind')}, e.confidence FROM edges e JOIN symbols s ON s.symbol_id = e.a JOIN symbols t ON t.symbol_id = e.b WHERE t.symbol = '{part_fn}' AND edge_kind = 'calls'",
         "callees": s + f"SELECT DISTINCT {PLACE.replace('s.symbol, s.kind, s.file_path', 's.file_path, s.symbol, s.kind')}, e.confidence FROM edges e JOIN symbols s ON s.symbol_id = e.b JOIN symbols t ON t.symbol_id = e.a WHERE t.symbol = '{order}' AND edge_kind = 'calls'",
         "impact": s + f"SELECT DISTINCT {PLACE}, 1 AS distance, {RELATION} AS relationship, 'graph_likely' AS confidence, {SCORE} AS score FROM edges e JOIN symbols s ON s.symbol_id = e.a JOIN symbols t ON t.symbol_id = e.b WHERE t.symbol = '{supplier}'",
-        "impact_ranked": c + f"SELECT DISTINCT symbol, kind, file_path, line, \"column\", 1 AS distance, relationship, 'graph_likely' AS confidence, round(greatest(0, score - CASE WHEN {FIXTURE} THEN 0.25 WHEN {TEST} THEN 0.10 ELSE 0 END::DOUBLE), 6) AS score FROM (SELECT {PLACE}, {RELATION} AS relationship, {SCORE} AS score FROM edges e JOIN symbols s ON s.symbol_id = e.a JOIN symbols t ON t.symbol_id = e.b WHERE t.symbol = '{part}')",
+        "impact_ranked": c + f"SELECT DISTINCT symbol, kind, file_path, line, \"column\", 1 AS distance, relationship, 'graph_likely' AS confidence, round(greatest(0, score - CASE WHEN {FIXTURE} THEN 0.25 WHEN {TEST} THEN 0.10 ELSE 0 END::DOUBLE), 6) AS score FROM (SELECT {PLACE}, {RELATION} AS relationship, {SCORE} AS score FROM edges e JOIN symbols s ON s.symbol_id = e.a JOIN symbols t ON t.symbol_id = e.b WHERE t.symbol = 'ai')",
         "explain_counts": s + "SELECT symbol, kind, file_path, start_line, end_line, signature, " + ", ".join(f"(SELECT count(*) FROM edges e WHERE e.b = symbol_id AND edge_kind = '{k}') AS in_{v}" for k, v in (("calls", "called_by"), ("contains", "contained_by"), ("imports", "imported_by"), ("implements", "implemented_by"))) + ", " + ", ".join(f"(SELECT count(*) FROM edges e WHERE e.a = symbol_id AND edge_kind = '{k}') AS out_{k}" for k in ("calls", "contains", "imports", "implements")) + f" FROM symbols WHERE symbol = '{supplier}'",
         "related": s + f""", t AS (SELECT * FROM symbols WHERE symbol = '{part_fn}' ORDER BY file_path, symbol_id LIMIT 1), r AS (SELECT x.symbol, x.file_path, x.kind, 'sibling' AS relationship, 0 AS o FROM symbols x JOIN t ON x.file_path = t.file_path WHERE x.symbol_id <> t.symbol_id
  UNION ALL SELECT DISTINCT x.symbol, x.file_path, x.kind, 'shared_caller', 1 FROM t JOIN edges e1 ON e1.b = t.symbol_id AND e1.edge_kind = 'calls' JOIN edges e2 ON e2.a = e1.a AND e2.edge_kind = 'calls' AND e2.b <> t.symbol_id JOIN symbols x ON x.symbol_id = e2.b)
