@@ -69,3 +69,16 @@ def test_pointer_jumping_equals_walking():
 
 def test_empty(spark):
     assert op6.archive(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_query_equals_sql(spark):
+    import duckdb
+
+    from trellis.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    c = duckdb.connect()
+    c.execute(f"create view pages as select * from '{sf}/pages.parquet'")
+    cols = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    want = sorted(c.execute(f"select {', '.join(cols)} from ({queries.oracle_sql()['op6_warc_chain']})").fetchall())
+    assert sorted(tuple(r) for r in queries.op6_warc_chain(spark, sf).select(*cols).collect()) == want

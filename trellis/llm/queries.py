@@ -63,5 +63,14 @@ def queries() -> dict[str, Query]:
     )}
 
 
+def _warc_sql() -> str:
+    """op6 in SQL: digests in base32 from the hex of SHA-1, five hex digits (20 bits) at a time."""
+    bits = [(f"('0x' || substr(h, {5 * g + 1}, 5))::BIGINT", s) for g in range(8) for s in (15, 10, 5, 0)]
+    digest = " || ".join(f"substr('{op6_warc.BASE32}', (({v} >> {s}) & 31)::INT + 1, 1)" for v, s in bits)
+    return f"""WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages), q AS (SELECT page_id, strlen(t) AS payload_bytes, sha1(t) AS h, min(page_id) OVER (PARTITION BY t) AS first_id FROM p)
+SELECT page_id, payload_bytes, {digest} AS payload_digest, CASE WHEN page_id = first_id OR first_id IS NULL THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to FROM q"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The other operators train, hash, tokenize, align or iterate: tests hold them against brute force."""
+    return {"op6_warc_chain": _warc_sql()}
