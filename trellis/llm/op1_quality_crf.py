@@ -198,7 +198,6 @@ def train(docs: list[tuple[int, np.ndarray]]) -> Chain:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
     """Train on a bounded sample of documents (doc_id, text) with labels (doc_id, quality)."""
-    spark = docs.sparkSession
     good = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("q"), F.max("quality").cast("int").alias("other")).where("q = other")
     count = {r.q: r["count"] for r in good.groupBy("q").count().collect()}
     rate = F.when(F.col("q") == 1, F.lit(int(min(1.0, sample / max(1, count.get(1, 0))) * 1e6))).otherwise(F.lit(int(min(1.0, sample / max(1, count.get(0, 0))) * 1e6)))
