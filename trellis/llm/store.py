@@ -8,10 +8,14 @@ import tempfile
 import uuid
 import weakref
 
-from pyspark import StorageLevel  # noqa: F401
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Edges (16 bytes each) that one task may contract at once.
+ONE_TASK = 500_000
+
 _fallback: str | None = None
 _used: list[tuple[weakref.ref, str]] = []
 
@@ -72,16 +76,49 @@ def parts_for(rows: int, each: int, least: int = 1) -> int:
     return max(least, math.ceil(rows / each))
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node of the edges a - b but a component's smallest, with that smallest."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(ids))
+    while True:
+        before = label
+        low = np.minimum(label[x], label[y])
+        label = label.copy()
+        np.minimum.at(label, x, low)
+        np.minimum.at(label, y, low)
+        np.minimum.at(label, before[x], low)
+        np.minimum.at(label, before[y], low)
+        label = label[label]
+        if np.array_equal(label, before):
+            break
+    other = label != np.arange(len(ids))
+    return ids[other], ids[label[other]]
+
+
+def _contract(batches):
+    """A partition's edges as the stars of their components."""
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if held:
+        a, b = stars(np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["u", "v"])
+
+
+def components(edges: DataFrame, most_rounds: int = 60, one_task: int = ONE_TASK) -> DataFrame:
     """Connected components of edges (a long, b long): (id, root), root the smallest id; nodes without edges don't occur.
 
-    Alternating large-star and small-star steps: each is a grouped minimum
+    Every partition first contracts its own edges. If at most one_task edges
+    are left, which is counted, one task (never the driver) contracts those.
+    Beyond, large-star and small-star steps alternate: each is a grouped minimum
     (combined map-side, so a node with very many edges is one row a task) and a
     join back, whose hot keys AQE may split. Rounds grow with the logarithm of
     the longest chain; each ends in a staged table.
     """
-    pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    pairs, before = stage(pairs, "cc"), None
+    both = edges.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    pairs, before = stage(both.mapInArrow(_contract, "u long, v long"), "cc"), None
+    if pairs.count() <= one_task:
+        pairs = stage(pairs.repartition(1).mapInArrow(_contract, "u long, v long"), "cc")
+        most_rounds = 0
     for _ in range(most_rounds):
         both = pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -96,5 +133,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             break
         before = state
     else:
-        raise RuntimeError("components did not settle")
+        if most_rounds:
+            raise RuntimeError("components did not settle")
     return pairs.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(pairs.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
