@@ -169,9 +169,11 @@ def decontaminate(docs: DataFrame, bench: DataFrame, least: float = LEAST_SCORE,
 
 def _one_block(rows: DataFrame, items: Items, least: float) -> DataFrame:
     spark = rows.sparkSession
+    store.small_batches(spark)
     shared = spark.sparkContext.broadcast(items)
 
     def seeds(batches):
+        store.worker_cache("op10")
         known = shared.value
         for b in batches:
             ids, texts = b.column(0), b.column(1).to_pylist()

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import store
 from .words import Scan, chunks
 
 SAMPLE, SAMPLE_LINES = 3000, 100
@@ -240,7 +241,10 @@ def rate(docs: DataFrame, chain: Chain, least_share: float = LEAST_SHARE, id_col
     shared = docs.sparkSession.sparkContext.broadcast(chain)
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
+    store.small_batches(docs.sparkSession)
+
     def run(batches):
+        store.worker_cache("op1")
         for b in batches:
             ids, texts = b.column(0), b.column(1).to_pylist()
             for a, z in chunks(texts):
@@ -255,7 +259,10 @@ def keep(docs: DataFrame, chain: Chain, least_share: float = LEAST_SHARE, text_c
     shared = docs.sparkSession.sparkContext.broadcast(chain)
     at = docs.columns.index(text_col)
 
+    store.small_batches(docs.sparkSession)
+
     def run(batches):
+        store.worker_cache("op1")
         for b in batches:
             texts = b.column(at).to_pylist()
             for a, z in chunks(texts):

@@ -29,7 +29,7 @@ from . import store
 
 END_ID = 2
 #: Entries of each of the two generations of a worker's word cache and piece cache; longer words are never kept.
-CACHED, LONGEST_KEPT = 350_000, 64
+CACHED, LONGEST_KEPT = 250_000, 64
 #: Marks that end a word without joining what stands before (an apostrophe may).
 STOPS = ".,;:!?"
 ORC = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20)}
@@ -102,14 +102,12 @@ class Words:
         return b"".join(map(self.pieces, self.split(text.lower() if w.isascii() else self.normal(text))))
 
 
-_words: dict[str, Words] = {}  # of this worker, kept from task to task
-
-
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> None:
     """Encode every text and write (doc_id, ids, n_before, n_tokens) files in ascending doc_id order."""
 
     def encode(batches):
-        words = _words.get(tokenizer_path) or _words.setdefault(tokenizer_path, Words(tokenizer_path))
+        kept = store.worker_cache("op3")
+        words = kept.get(tokenizer_path) or kept.setdefault(tokenizer_path, Words(tokenizer_path))
         get, end, before = words.get, np.array([end_id], "<u4").tobytes(), 0
         for b in batches:
             rows = [b"".join(map(get, (t or "").encode().split())) + end for t in b.column(1).to_pylist()]
@@ -120,6 +118,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str =
             before += int(offsets[-1])
 
     spark = docs.sparkSession
+    store.small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ranges = rows.repartitionByRange(store.shuffle_partitions(spark), F.col("doc_id").asc_nulls_first())
     ranges.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").mapInArrow(encode, "doc_id long, ids array<int>, n_before long, n_tokens long").write.options(**ORC).orc(path)

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import store
+
 MARK = "▁"
 SEGMENT = re.compile(r" +[^ \n]*|\n[^ \n]*")
 #: Heaviest pre-tokens that a task reports, and that the broadcast table holds (at most about 2 MB).
@@ -80,9 +82,6 @@ class Lengths(dict):
         return n
 
 
-_lengths: tuple[str, Lengths] | None = None  # of this worker, kept from task to task
-
-
 def frequent(docs: DataFrame, text_col: str = "text") -> dict[str, int]:
     """The corpus' heaviest pre-tokens, from bounded summaries of all tasks."""
 
@@ -109,10 +108,11 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, id_col: st
     stamp = uuid.uuid4().hex
 
     def count(batches):
-        global _lengths
-        if _lengths is None or _lengths[0] != stamp:
-            _lengths = stamp, Lengths(model_path, table.value)
-        get = _lengths[1].__getitem__
+        kept = store.worker_cache("op8")
+        if stamp not in kept:
+            kept.clear()
+            kept[stamp] = Lengths(model_path, table.value)
+        get = kept[stamp].__getitem__
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
             tokens = [sum(map(get, keys(t))) for t in texts]

@@ -68,6 +68,27 @@ def _clean() -> None:
             return
 
 
+#: Rows of whole texts that are handed to Python at once.
+BATCH_ROWS = 1000
+
+_caches: dict[str, dict] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """This worker's cache for an operator; what other operators kept in the same worker is released."""
+    for name, kept in _caches.items():
+        if name != owner:
+            kept.clear()
+    return _caches.setdefault(owner, {})
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hand texts to Python in batches of at most BATCH_ROWS rows, so that a worker's memory stays bounded."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -123,7 +123,7 @@ class Scan:
                 yield np.zeros(0, U64)
 
 
-def chunks(texts: list[str | None], size: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def chunks(texts: list[str | None], size: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about so many characters together; a longer text makes a range of its own."""
     a, total = 0, 0
     for i, t in enumerate(texts):
