@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import math
 import tempfile
 import uuid
@@ -72,13 +74,22 @@ def _clean() -> None:
 BATCH_ROWS = 1000
 
 _caches: dict[str, dict] = {}
+_owner: str | None = None
 
 
 def worker_cache(owner: str) -> dict:
-    """This worker's cache for an operator; what other operators kept in the same worker is released."""
-    for name, kept in _caches.items():
-        if name != owner:
+    """This worker's cache for an operator; what another operator left in the same worker is released, also to the system."""
+    global _owner
+    if _owner != owner:
+        for kept in _caches.values():
             kept.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # a C library without it
+            pass
+        _owner = owner
     return _caches.setdefault(owner, {})
 
 
