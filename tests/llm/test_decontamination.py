@@ -66,6 +66,48 @@ def test_finds_planted_passages_and_no_others(spark):
     assert {(r.doc_id, r.item_id): r.score for r in got} == want
 
 
+def found(spark, docs, items):
+    got = op10.decontaminate(spark.createDataFrame([(i, " ".join(t)) for i, t in docs], "doc_id long, text string"), spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id long, text string"))
+    return {(r.doc_id, r.item_id): r.score for r in got.collect()}
+
+
+def every_pair(docs, items):
+    scores = {(i, k): brute_align(item, t) for i, t in docs for k, item in items}
+    return {p: s for p, s in scores.items() if s >= op10.LEAST_SCORE}
+
+
+def test_finds_an_edited_passage_that_a_third_of_all_documents_hold(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(900)]
+    text = lambda n: [rng.choice(words) for _ in range(n)]
+    item = text(30)
+    edited = list(item)
+    for at in (7, 15, 23):
+        edited[at] = "edit"
+    docs = [(i, text(20) + edited + text(20)) for i in range(50)] + [(i, text(60)) for i in range(50, 150)] + [(150, text(9) + item)]
+    want = every_pair(docs, [(1, item)])
+    assert set(want) == {(i, 1) for i in [*range(50), 150]} and want[0, 1] == 0.85
+    assert found(spark, docs, [(1, item)]) == want
+
+
+def test_no_pair_above_the_threshold_is_lost(spark):
+    rng = random.Random(9)
+    items = [(n, [rng.choice("abcdefghijklmnop") for _ in range(n)]) for n in range(5, 31)]
+    docs = []
+    for d in range(300):
+        copy = list(rng.choice(items)[1])
+        for _ in range(rng.randrange(0, 2 * len(copy) // 3)):
+            at = rng.randrange(len(copy))
+            copy[at : at + 1] = rng.choice([[], ["x"], [copy[at], "y"], [copy[at], "z"]])
+            copy = copy or ["x"]
+        docs.append((d, ["q"] * rng.randrange(9) + copy + ["r"] * rng.randrange(9)))
+    # an insertion after every second word leaves no three words together
+    docs.append((300, [w for i, v in enumerate(items[-1][1]) for w in ([v, "y"] if i % 2 else [v])]))
+    want = every_pair(docs, items)
+    assert (300, 30) in want and len(want) > 100
+    assert found(spark, docs, items) == want
+
+
 def test_blocks_give_the_same(spark, monkeypatch):
     items, docs, truth = build(5)
     monkeypatch.setattr(op10, "BLOCK_CHARS", 900)

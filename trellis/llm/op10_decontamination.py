@@ -1,18 +1,18 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
-
-Seeds are the word trigrams of the benchmark items (ASCII lower case). Pass 1
-looks every trigram of every whole document up among them and keeps, of each
-document that has any, which it has and where. From that table come the seeds'
-document frequencies. A seed is rare if its frequency is at most RARE times
-the lower quartile of its item's seeds, or RARE_PART of the documents: so an
-item that very many documents hold keeps its seeds, while a phrase that is
-common only by itself is none. Documents with enough rare seeds of one item
-close together are read again; each such passage is aligned with the item, and
-score is the best local alignment's part of the item's own score.
-
-Items are a stated query set: they are broadcast, in blocks of at most
-BLOCK_CHARS characters, each block against all documents. Nothing is kept of
-documents without seeds, and candidates are neither capped nor sampled.
+"""Benchmark decontamination: word pairs find passages, Smith-Waterman alignment scores them.
+
+The filter loses nothing. A local alignment that reaches `least` of an item's
+own score has at most e = MATCH * (1 - least) * n mismatches and gaps together
+(n: the item's words), so it spans at most n + e words of the document and at
+least n - e - 1 of its neighbouring words stand side by side in the item too.
+Where that is at least one, the item's seeds are its word pairs (ASCII lower
+case), otherwise its words, of which an alignment has at least least * n. A
+passage is aligned if it holds so many seeds of an item within so many words,
+however frequent they are, and so many of the item's words. score is the best
+local alignment's part of the item's own score.
+
+Every document is read once and judged alone. Items are a stated query set:
+they are broadcast, in blocks of at most BLOCK_CHARS characters, each block
+against all documents. Candidates are neither capped nor sampled.
 
 Null or empty texts match nothing. Items of fewer than LEAST_ITEM words, and
 null items, match nothing. A document that holds an item several times gives
@@ -32,38 +32,50 @@ from pyspark.sql import functions as F
 from . import store
 from .words import Scan, chunks
 
-SEED, LEAST_ITEM = 3, 5
-RARE, RARE_PART = 10, 1000
+LEAST_ITEM = 5
 LEAST_SCORE = 0.6
 MATCH, MISMATCH, GAP = 2, 1, 1
 BLOCK_CHARS = 16 << 20
-#: Up to so many candidate ids (8 bytes each) are broadcast to the second reading; more are joined by shuffle.
-BROADCAST_ROWS = 2_000_000
+#: So many (place, item) entries of whole documents are sorted at once.
+ENTRIES = 1 << 20
 
 
 @dataclass
 class Items:
-    """A block of benchmark items: their word hashes, and every seed with the items that hold it."""
+    """A block of benchmark items: their word hashes, and every seed with the items that hold it.
+
+    need and span: an item's least seeds in a passage, and the most words between them.
+    """
 
     ids: list[int] = field(default_factory=list)
     words: list[np.ndarray] = field(default_factory=list)
     seeds: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     first: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
     item: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    need: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    span: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    #: Lengths of the seeds in words.
+    sizes: tuple[int, ...] = ()
 
     @staticmethod
-    def of(rows: list[tuple[int, str | None]]) -> Items:
+    def of(rows: list[tuple[int, str | None]], least: float = LEAST_SCORE) -> Items:
         s = Scan([t for _, t in rows], lower=True)
         h = s.hashes()
-        g = s.grams(h, SEED)
-        ids, words, seeds, item = [], [], [], []
+        grams = {k: s.grams(h, k) for k in (1, 2)}
+        ids, words, seeds, item, need, span, sizes = [], [], [], [], [], [], set()
         for i, (a, b) in enumerate(zip(s.first[:-1], s.first[1:])):
-            if b - a >= LEAST_ITEM:
-                found = np.unique(g[a : b - SEED + 1])
+            n = int(b - a)
+            if n >= LEAST_ITEM:
+                edits = spoiled(n, least)
+                k = 2 if n - edits - 1 >= 1 else 1
+                sizes.add(k)
+                found = np.unique(grams[k][a : b - k + 1])
                 seeds.append(found)
                 item.append(np.full(len(found), len(ids)))
                 ids.append(rows[i][0])
                 words.append(h[a:b])
+                need.append(n - edits - 1 if k == 2 else held(n, least))
+                span.append(n + edits)
         if not ids:
             return Items()
         every, of = np.concatenate(seeds), np.concatenate(item)
@@ -71,7 +83,7 @@ class Items:
         every, of = every[order], of[order]
         new = np.ones(len(every), bool)
         new[1:] = every[1:] != every[:-1]
-        return Items(ids, words, every[new], np.append(np.flatnonzero(new), len(every)), of)
+        return Items(ids, words, every[new], np.append(np.flatnonzero(new), len(every)), of, np.array(need), np.array(span), tuple(sorted(sizes)))
 
     def find(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions and seed numbers of grams that are seeds."""
@@ -88,29 +100,62 @@ class Items:
         self.sieve = np.zeros(1 << bits, bool)
         self.sieve[self.seeds & np.uint64((1 << bits) - 1)] = True
 
-    def rare(self, df: np.ndarray, docs: int) -> np.ndarray:
-        """Which (seed, item) entries are rare, from the seeds' document frequencies."""
-        each = np.repeat(df, np.diff(self.first))
-        most = np.array([max(1, docs // RARE_PART, RARE * np.quantile(each[self.item == i], 0.25, method="lower")) for i in range(len(self.ids))])
-        return each <= most[self.item] if len(each) else np.zeros(0, bool)
 
+def spoiled(n: int, least: float) -> int:
+    """Most mismatches and gaps of an alignment that reaches least of the score of n words."""
+    return int(MATCH * (1 - least) * n / min(MISMATCH, GAP) + 1e-9)
+
+
+def held(n: int, least: float) -> int:
+    """Least words that such an alignment matches."""
+    return max(1, int(np.ceil(least * n - 1e-9)))
+
+
+def places(s: Scan, h: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, first word and seed number of every seed of a batch, by text."""
+    found = []
+    for k in items.sizes:
+        at, seed = items.find(s.grams(h, k))
+        doc = np.searchsorted(s.first, at, side="right") - 1
+        inside = at + k <= s.first[doc + 1]
+        found.append((doc[inside], at[inside], seed[inside]))
+    doc, at, seed = map(np.concatenate, zip(*found))
+    order = np.argsort(doc, kind="stable")
+    return doc[order], at[order], seed[order]
 
-def passages(at: np.ndarray, seed: np.ndarray, items: Items, rare: np.ndarray):
-    """(item, from, to) of words where enough rare seeds of an item stand close together."""
+
+def passages(doc: np.ndarray, at: np.ndarray, seed: np.ndarray, items: Items):
+    """(text, item, from, to) of words where enough seeds of an item stand close together, by text, item and place."""
     n = items.first[seed + 1] - items.first[seed]
-    entry = np.repeat(items.first[seed], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    ok = rare[entry]
-    pos, sd, it = np.repeat(at, n)[ok], np.repeat(seed, n)[ok], items.item[entry[ok]]
-    order = np.lexsort((pos, it))
-    pos, sd, it = pos[order], sd[order], it[order]
-    if not len(pos):
-        return
-    size = np.array([len(w) for w in items.words])[it]
-    cut = np.flatnonzero((it[1:] != it[:-1]) | (pos[1:] - pos[:-1] > size[1:])) + 1
-    for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(pos)]):
-        length = int(size[a])
-        if len(np.unique(sd[a:b])) >= (2 if length >= 2 * SEED else 1):
-            yield int(it[a]), max(0, int(pos[a]) - length), int(pos[b - 1]) + SEED + length
+    total = np.cumsum(n)
+    x = 0
+    while x < len(doc):
+        y = int(np.searchsorted(total, (total[x - 1] if x else 0) + ENTRIES, side="right"))
+        if y < len(doc) and (y := int(np.searchsorted(doc, doc[y]))) <= x:
+            y = int(np.searchsorted(doc, doc[x], side="right"))
+        m = n[x:y]
+        entry = np.repeat(items.first[seed[x:y]], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+        of, pos, it = np.repeat(doc[x:y], m), np.repeat(at[x:y], m), items.item[entry]
+        order = np.lexsort((pos, it, of))
+        of, pos, it = of[order], pos[order], it[order]
+        last = np.arange(len(pos)) + items.need[it] - 1
+        there = np.minimum(last, len(pos) - 1)
+        start = np.flatnonzero((last < len(pos)) & (of[there] == of) & (it[there] == it) & (pos[there] - pos <= items.span[it]))
+        of, pos, it = of[start], pos[start], it[start]
+        reach = items.span[it]
+        # windows of one text and item that overlap are one passage
+        new = np.ones(len(pos), bool)
+        new[1:] = (of[1:] != of[:-1]) | (it[1:] != it[:-1]) | (pos[1:] - pos[:-1] > 2 * reach[1:])
+        a = np.flatnonzero(new)
+        b = np.append(a[1:], len(pos))[: len(a)] - 1
+        yield from zip(of[a].tolist(), it[a].tolist(), (pos[a] - reach[a]).tolist(), (pos[b] + reach[b]).tolist())
+        x = y
+
+
+def holds(item: np.ndarray, words: np.ndarray, span: int, least: int) -> bool:
+    """Whether some span words have at least so many that are the item's."""
+    count = np.append(0, np.cumsum(np.isin(words, item)))
+    return int((count[span:] - count[:-span]).max() if len(words) > span else count[-1]) >= least
 
 
 def align(item: np.ndarray, words: np.ndarray) -> tuple[float, int]:
@@ -131,24 +176,30 @@ def align(item: np.ndarray, words: np.ndarray) -> tuple[float, int]:
     return best / (MATCH * len(item)), end
 
 
-def match(text_words: np.ndarray, grams: np.ndarray, items: Items, rare: np.ndarray, least: float) -> list[tuple[int, float, int]]:
-    """(item number, score, end word) of the items that a document holds."""
-    best: dict[int, tuple[float, int]] = {}
-    for item, a, b in passages(*items.find(grams), items, rare):
-        score, end = align(items.words[item], text_words[a:b])
-        if score >= least and score > best.get(item, (0.0, 0))[0]:
-            best[item] = score, a + end
-    return [(i, s, e) for i, (s, e) in sorted(best.items())]
+def match(s: Scan, items: Items, least: float) -> list[tuple[int, int, float, int]]:
+    """(text, item number, score, end word) of the items that the texts of a batch hold."""
+    h = s.hashes()
+    best: dict[tuple[int, int], tuple[float, int]] = {}
+    for doc, item, a, b in passages(*places(s, h, items), items):
+        start = int(s.first[doc])
+        a, b = max(a, start), min(b, int(s.first[doc + 1]))
+        own = items.words[item]
+        if not holds(own, h[a:b], int(items.span[item]), held(len(own), least)):
+            continue
+        score, end = align(own, h[a:b])
+        if score >= least and score > best.get((doc, item), (0.0, 0))[0]:
+            best[doc, item] = score, a - start + end
+    return [(d, i, v, e) for (d, i), (v, e) in sorted(best.items())]
 
 
-def blocks(bench: DataFrame, item_col: str, text_col: str):
+def blocks(bench: DataFrame, item_col: str, text_col: str, least: float = LEAST_SCORE):
     """The benchmark, in blocks of bounded size."""
     rows = bench.where(F.col(text_col).isNotNull()).select(F.col(item_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
     total = rows.agg(F.sum(F.length("t"))).first()[0] or 0
     n = -(-total // BLOCK_CHARS)
     for k in range(n):
         part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
-        if (items := Items.of(sorted(map(tuple, part.collect()), key=lambda r: (r[0] is None, r)))).ids:
+        if (items := Items.of(sorted(map(tuple, part.collect()), key=lambda r: (r[0] is None, r)), least)).ids:
             items.prepare()
             yield items
 
@@ -160,7 +211,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, least: float = LEAST_SCORE,
     """SCHEMA: a row for each document and item that it holds."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = [_one_block(rows, items, least) for items in blocks(bench, item_col, item_text)]
+    found = [_one_block(rows, items, least) for items in blocks(bench, item_col, item_text, least)]
     out = spark.createDataFrame([], SCHEMA)
     for f in found:
         out = f if len(found) == 1 else out.unionByName(f)
@@ -172,45 +223,16 @@ def _one_block(rows: DataFrame, items: Items, least: float) -> DataFrame:
     store.small_batches(spark)
     shared = spark.sparkContext.broadcast(items)
 
-    def seeds(batches):
+    def score(batches):
         store.worker_cache("op10")
         known = shared.value
         for b in batches:
             ids, texts = b.column(0), b.column(1).to_pylist()
             for x, y in chunks(texts):
-                s = Scan(texts[x:y], lower=True)
-                at, seed = known.find(s.grams(s.hashes(), SEED))
-                doc = np.searchsorted(s.first, at, side="right") - 1
-                inside = at + SEED <= s.first[doc + 1]
-                pairs = np.unique(np.stack([doc[inside], seed[inside]]), axis=1)
-                one = np.flatnonzero(np.append(True, pairs[0][1:] != pairs[0][:-1])) if pairs.size else np.zeros(0, np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.append(one, pairs.shape[1]).astype(np.int32)), pa.array(pairs[1].astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([ids.slice(x, y - x).take(pa.array(pairs[0][one])), lists], ["doc_id", "seeds"])
-
-    hits = store.stage(rows.mapInArrow(seeds, "doc_id long, seeds array<int>"), "seeds")
-    df = np.zeros(len(items.seeds), np.int64)
-    for r in hits.select(F.explode("seeds").alias("s")).groupBy("s").count().collect():  # at most one row a seed
-        df[r.s] = r["count"]
-    rare = items.rare(df, rows.count())
-    # documents with enough rare seeds of one item; places are judged when the text is read again
-    n = np.diff(items.first)
-    of_seed = np.repeat(np.arange(len(items.seeds)), n)
-    need = np.array([2 if len(w) >= 2 * SEED else 1 for w in items.words])
-    entries = spark.createDataFrame([(int(s), int(i), int(need[i])) for s, i, ok in zip(of_seed, items.item, rare) if ok], "s int, item int, need int")
-    pairs = hits.select("doc_id", F.explode("seeds").alias("s")).join(F.broadcast(entries), "s").groupBy("doc_id", "item").agg(F.count_distinct("s").alias("n"), F.first("need").alias("need"))
-    chosen = store.stage(pairs.where("n >= need and doc_id is not null").select("doc_id").distinct(), "suspects")
-    small = chosen.count() <= BROADCAST_ROWS
-    suspects = rows.join(F.broadcast(chosen) if small else chosen, "doc_id").unionByName(rows.where("doc_id is null"))
-    marks = spark.sparkContext.broadcast(rare)
+                out = match(Scan(texts[x:y], lower=True), known, least)
+                doc, item, value, end = zip(*out) if out else [()] * 4
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(x, y - x).take(pa.array(doc, pa.int64())), pa.array([known.ids[i] for i in item], pa.int64()), pa.array(value, pa.float64()), pa.array(end, pa.int64())], ["doc_id", "item_id", "score", "end_word"]
+                )
 
-    def score(batches):
-        known, ok = shared.value, marks.value
-        for b in batches:
-            out = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                s = Scan([text], lower=True)
-                h = s.hashes()
-                out += [(doc, known.ids[i], v, e) for i, v, e in match(h, s.grams(h, SEED), known, ok, least)]
-            yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "item_id", "score", "end_word"), r)) for r in out], pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("end_word", pa.int64())]))
-
-    return suspects.mapInArrow(score, SCHEMA)
+    return rows.mapInArrow(score, SCHEMA)
