@@ -115,6 +115,21 @@ def test_cycles_both_ways(spark, tmp_path):
     assert {frozenset(r.node for r in graph.strong_components(df, 0).collect() if r.component == c) for c in {r.component for r in graph.strong_components(df, 0).collect()}} == {frozenset("abc"), frozenset("de")}
 
 
+def test_small_cycles_with_their_edges(spark):
+    symbols = [(i, f"src/{f}.rs", f, "function", 1, 5) for i, f in enumerate("abcdefg", 1)]
+    # a <-> b by two kinds, c -> d -> e -> c, f -> g is none
+    ix = index(spark, symbols, [edge(1, 2), edge(2, 1), edge(1, 2, "imports"), edge(3, 4), edge(4, 5), edge(5, 3), edge(2, 3), edge(6, 7)])
+    ab, cde = "src/a.rs,src/b.rs", "src/c.rs,src/d.rs,src/e.rs"
+    assert {tuple(r) for r in graph.circular(ix).collect()} == {(ab, 2, 3), (cde, 3, 3)}
+    row = lambda files, x, y, kind="calls": (files, f"src/{x}.rs", x, f"src/{y}.rs", y, kind)
+    want = [row(ab, "a", "b"), row(ab, "a", "b", "imports"), row(ab, "b", "a"), row(cde, "c", "d"), row(cde, "d", "e"), row(cde, "e", "c")]
+    assert sorted(tuple(r) for r in graph.cycle_edges(ix).collect()) == want
+    assert {r[1] for r in map(tuple, graph.cycle_edges(ix, 2).collect())} == {"src/a.rs", "src/b.rs"} and graph.cycle_edges(ix, 1).count() == 0
+    # the cut of the filtered query keeps none of these edges
+    assert graph.circular(ix, 10, F.expr("(from_symbol_id * 7 + to_symbol_id) % 2700 = 0")).count() == 0
+    assert {r.message for r in orient.recommendations(ix).where("kind = 'cycle_warning'").collect()} == {"2 circular dependency cycles detected"}
+
+
 def test_dead_coupling_gaps(spark):
     ix = index(spark, [(1, "src/a.rs", "p", "function", 1, 100, "fn p"), (2, "src/a.rs", "q", "function", 1, 40, "pub fn q"), (3, "src/b.rs", "S", "struct", 1, 2), (4, "tests/x.rs", "t", "function", 1, 3, "fn t")], [edge(4, 3), edge(3, 4), edge(3, 4, "imports")], [("tests/x.rs", "q", 1)])
     assert {r.symbol for r in diagnostics.dead(ix).collect()} == {"p"}

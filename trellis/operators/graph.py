@@ -272,8 +272,8 @@ def tarjan(edges: list[tuple[str, str]]) -> list[set[str]]:
     return found
 
 
-def circular(ix: Index, longest: int = 10, edge_filter: Column | None = None) -> DataFrame:
-    """Files of each dependency cycle of 2 to longest files, with the number of edges inside."""
+def _cycles(ix: Index, longest: int, edge_filter: Column | None) -> tuple[DataFrame, DataFrame]:
+    """(component, files, n_files) of each cycle, and the edges between its files, with their component."""
     e = enriched(ix, "file_path", "symbol").where("src_file_path <> dst_file_path")
     if edge_filter is not None:
         e = e.where(edge_filter)
@@ -282,4 +282,18 @@ def circular(ix: Index, longest: int = 10, edge_filter: Column | None = None) ->
     sized = parts.groupBy("component").agg(F.array_sort(F.collect_list("node")).alias("files"), F.count("*").alias("n_files")).where(F.col("n_files") <= longest)
     member = F.broadcast(sized.select("component", F.explode("files").alias("node")))
     inside = e.join(member.select(F.col("node").alias("src_file_path"), F.col("component").alias("c1")), "src_file_path").join(member.select(F.col("node").alias("dst_file_path"), F.col("component").alias("c2")), "dst_file_path").where("c1 = c2")
-    return sized.join(inside.groupBy(F.col("c1").alias("component")).agg(F.count("*").alias("n_edges")), "component").select(F.array_join("files", ",").alias("files"), "n_files", "n_edges")
+    return sized, inside.withColumnRenamed("c1", "component")
+
+
+def circular(ix: Index, longest: int = 10, edge_filter: Column | None = None) -> DataFrame:
+    """Files of each dependency cycle of 2 to longest files, with the number of edges inside."""
+    sized, inside = _cycles(ix, longest, edge_filter)
+    return sized.join(inside.groupBy("component").agg(F.count("*").alias("n_edges")), "component").select(F.array_join("files", ",").alias("files"), "n_files", "n_edges")
+
+
+def cycle_edges(ix: Index, longest: int = 10) -> DataFrame:
+    """The edges of each cycle of circular over all edges: a row each, with the files of its cycle."""
+    sized, inside = _cycles(ix, longest, None)
+    return inside.join(sized, "component").select(
+        F.array_join("files", ",").alias("files"), F.col("src_file_path").alias("from_file"), F.col("src_symbol").alias("from_symbol"), F.col("dst_file_path").alias("to_file"), F.col("dst_symbol").alias("to_symbol"), "edge_kind",
+    )

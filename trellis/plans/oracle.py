@@ -165,7 +165,7 @@ def oracle_sql() -> dict[str, str]:
     command = r"""CASE WHEN regexp_matches(file_path, '^tests/[^/]+\.rs$') THEN 'cargo test --test ' || regexp_extract(file_path, '^tests/([^/]+)\.rs$', 1) WHEN regexp_matches(file_path, '(^|/)(test_[^/]*|[^/]*_tests?)\.py$') THEN 'pytest ' || file_path
  WHEN ends_with(file_path, '_test.go') THEN 'go test ./' || regexp_extract(file_path, '^(.*)/[^/]*$', 1) WHEN regexp_matches(file_path, '\.(test|spec)\.tsx?$') THEN 'npx jest --runTestsByPath ' || file_path END"""
     plan_file = "src/src5/d25.rs"
-    return {
+    found = {
         "hotspots": s + HOT,
         "status_counts": c + "SELECT 'source_files' AS \"table\", count(*) AS rows FROM files UNION ALL SELECT 'definitions', count(*) FROM symbols UNION ALL SELECT 'references', count(*) FROM refs UNION ALL SELECT 'text_occurrences', count(*) FROM tokens UNION ALL SELECT 'edges', count(*) FROM edges",
         "language_files": c + "SELECT language, count(DISTINCT file_path) AS files FROM symbols GROUP BY ALL",
@@ -244,3 +244,8 @@ def oracle_sql() -> dict[str, str]:
         "stale_prune": c + OLD_NEW + "SELECT file_path FROM old WHERE file_path IN (SELECT file_path FROM new)",
         "json_envelope": s + f"SELECT DISTINCT '{{\"schema\":\"callees@v2\",\"command\":\"callees\",\"ok\":true,\"meta\":{{\"version\":2}},\"data\":{{\"symbol\":\"' || t_symbol || '\"}}}}' AS json FROM named WHERE s_symbol = '{order}' AND edge_kind = 'calls'",
     }
+    # the same over every edge
+    found |= {f"{n}_all": found[n].replace(f" AND {SPARSE}", "") for n in ("circular", "orient_recommendations")}
+    cycle_edges = ", x.files, n.s_file AS from_file, n.s_symbol AS from_symbol, n.t_file AS to_file, n.t_symbol AS to_symbol, n.edge_kind FROM named n JOIN inside x ON x.node = n.s_file JOIN inside y ON y.node = n.t_file AND y.c = x.c WHERE n.s_file <> n.t_file"
+    found["cycle_edges"] = s + CYCLES.replace(f" AND {SPARSE}", "") + ", inside AS (SELECT c, files, node FROM cycles JOIN scc USING (c)) SELECT" + cycle_edges[1:]
+    return found

@@ -15,7 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 NAME, PART, TASK = "The", "Then", "fix the then andthe order of thation in Erthe"
 CALLED = "ai"
 ORDER, PART_FN, SUPPLIER, FILE, REGION = "order_7", "part_12", "supplier_3", "src/n3.rs", "region_1"
-#: Edges that keep the file graph sparse enough for cycles of a few files.
+#: Edges of the filtered cycle queries, as in their SQL; the _all queries and cycle_edges use every edge.
 SPARSE = "(from_symbol_id * 7 + to_symbol_id) % 2700 = 0"
 
 
@@ -122,9 +122,12 @@ def queries() -> dict[str, Query]:
         "diff_impact_tests": corpus(lambda ix: graph.diff_impact(ix, graph.changed_symbols(ix, ["src/src5/d25.rs"]), 2, None, exclude_changed=True, with_tests=True)),
         "call_path": corpus(lambda ix: graph.call_path(ix, NAME, "Of", 6)),
         "circular": star(lambda ix: graph.circular(ix, 10, F.expr(SPARSE))),
+        "circular_all": star(graph.circular),
+        "cycle_edges": star(graph.cycle_edges),
         "tree": corpus(lambda ix: orient.tree(ix, 2)),
         "tree_focus": star(lambda ix: orient.tree(ix, 3, "src/brand")),
         "orient_recommendations": star(lambda ix: orient.recommendations(ix, graph.circular(ix, 10, F.expr(SPARSE)))),
+        "orient_recommendations_all": star(orient.recommendations),
         "edge_resolution": corpus(_edge_summary),
         "incremental_diff": lambda spark, sf_dir: resolve.changes(*_old_and_new(spark, sf_dir)),
         "to_index": lambda spark, sf_dir: resolve.to_index(*_old_and_new(spark, sf_dir)).select("file_path"),
