@@ -106,6 +106,27 @@ def test_licenses_held_out(spark, model):
     assert all(r.confirmed and r.paragraph == 2 for r in got.values())
 
 
+def test_wrapped_notices_are_judged_whole(spark, model):
+    bsd = ["Redistribution and use in source and binary forms, with or without", "modification, are permitted provided that the following conditions", "are met:"]
+    gpl = ["This program is free software: you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by", "the Free Software Foundation."]
+    red = "red house runs the blue of the house"
+    texts = {
+        1: ["#!/bin/x", "", *[f"# {x}" for x in bsd], "#", f"# {red}"], 2: ["/*", *[f" * {x}" for x in gpl], " */", red], 3: [red, *[f"// {x}" for x in bsd], red],
+        4: ["# Released under the MIT License.", "# All rights reserved."], 5: [bsd[0], "", red, red],
+    }
+    docs = spark.createDataFrame([(i, "\n".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    got = sorted((r.doc_id, r.paragraph, r.family, r.similarity) for r in op9.scan(docs, model).where("confirmed").collect())
+    assert got == [(1, 2, "bsd", 1.0), (2, 1, "gpl", 1.0), (3, 1, "bsd", 1.0), (4, 0, "mit", 1.0), (4, 1, "proprietary", 1.0)]
+    assert op9.scan(docs.where("doc_id < 4"), model).count() == 3
+
+
+def test_reworded_notices_are_no_sample_of_unknown_ones(monkeypatch):
+    rows = []
+    monkeypatch.setattr(op9, "features", lambda t, f=op9.features: (rows.append(" ".join(t)), f(t))[1])
+    op9.train(["Redistribution and use in source and binary forms, with or without", "red house runs under the blue roof"])
+    assert "red house runs under the blue roof" in rows and "redistribution and use in source and binary forms with or without" not in rows
+
+
 def test_license_empty_and_trained_query(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert op9.scan(none).count() == 0

@@ -1,12 +1,18 @@
 """License scan: a trained paragraph classifier, confirmed against templates.
 
-A paragraph is a line with a word. Its features are hashed word 1- and 2-grams
+A line's comment marks are left out. A paragraph is a line with a word, or a
+window of lines that follow one another without a blank one: of at most twice
+the longest template's words, with a part of a template's bigrams in its first
+and its last line and at least NEAR of some template's in all. So a notice is
+judged whole however it is wrapped. Of paragraphs that overlap the one most
+alike to a template is reported, of equals the one of fewer lines. Its features are hashed word 1- and 2-grams
 (ASCII lower case, punctuation stripped), averaged; a multinomial logistic
 regression over licence families and `unknown` scores all paragraphs of a batch
 by one gather and one segmented sum. Training paragraphs are the templates
 below, varied by dropped and added words, against `unknown` ones: negatives
 below and a sample of at most about SAMPLE paragraphs of the corpus that are no
-template's (chosen by a hash, so alike at every size). A temperature, fitted on held-out
+template's, nor hold NEAR of the bigrams of one (chosen by a hash, so alike at
+every size). A temperature, fitted on held-out
 variants and paragraphs, calibrates the probabilities. A paragraph is reported
 if a family is likelier than `unknown` and reaches LEAST_PROBABILITY, and
 confirmed if at least LEAST_SIMILAR of some template's bigrams of that family
@@ -20,6 +26,7 @@ table gives no rows (the model is then trained without corpus paragraphs).
 from __future__ import annotations
 
 import random
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -30,6 +37,8 @@ from pyspark.sql import functions as F
 BITS = 16
 SAMPLE, VARIANTS, SEED = 4000, 60, 11
 LEAST_PROBABILITY, LEAST_SIMILAR = 0.5, 0.6
+#: The part of a template's bigrams from which lines are compared together, and from which a corpus line is no sample of unknown ones.
+NEAR = 0.3
 UNKNOWN = "unknown"
 #: Customary notices of each family.
 TEMPLATES = {
@@ -74,6 +83,7 @@ NEGATIVES = [
     "MIT and other universities took part in the study.", "The work was released under pressure from the public.", "General terms of the lease are under review.",
     "Permission to land was granted by the tower.", "Mozilla published a new browser version.", "Creative people in common places work together.",
 ]
+_MARKS = re.compile(r"^\s*(?:<!--|//+!?|/\*+|\*+/?|#+!?|--+|;+|%+)(?=\s|$)|(?:\*+/|-->)\s*$")
 _STRIP = ".,;:!?()[]{}\"'“”«»"
 
 
@@ -81,6 +91,11 @@ def words(paragraph: str) -> list[str]:
     return [w for x in paragraph.lower().split() if (w := x.strip(_STRIP))]
 
 
+def bare(line: str) -> list[str]:
+    """The words of a line without its comment marks."""
+    return words(_MARKS.sub("", line))
+
+
 @lru_cache(1 << 18)
 def _code(word: str) -> int:
     h = 0xCBF29CE484222325
@@ -102,6 +117,12 @@ class Model:
     def __init__(self, families: list[str], weights: np.ndarray, bias: np.ndarray, heat: float):
         self.families, self.weights, self.bias, self.heat = families, weights, bias, heat
         self.templates = {f: [_bigrams(words(t)) for t in TEMPLATES[f]] for f in families[1:]}
+        every = [t for f in families[1:] for t in self.templates[f]]
+        self.sizes = np.array([len(t) for t in every])
+        self.holders: dict[tuple, list[int]] = {}
+        for i, t in enumerate(every):
+            for pair in t:
+                self.holders.setdefault(pair, []).append(i)
 
     def scores(self, rows: list[np.ndarray]) -> np.ndarray:
         """Calibrated probabilities of each paragraph (buckets, none empty)."""
@@ -117,7 +138,32 @@ class Model:
         return max(len(t & mine) / len(t) for t in self.templates[family])
 
 
+    def windows(self, lines: list[tuple[int, list[str]]]) -> list[tuple[int, int]]:
+        """Bounds, in lines (line number, words; none empty), of the windows of two or more that are paragraphs."""
+        inner = [{p for p in zip(t, t[1:]) if p in self.holders} for _, t in lines]
+        cross = [(a[1][-1], b[1][0]) if b[0] == a[0] + 1 else None for a, b in zip(lines, lines[1:])]
+        cross = [p if p in self.holders else None for p in cross]
+        touched = [bool(own or (k and cross[k - 1]) or (k < len(cross) and cross[k])) for k, own in enumerate(inner)]
+        found = []
+        for i in np.flatnonzero(touched).tolist():
+            pairs, n = set(inner[i]), len(lines[i][1])
+            for j in range(i + 1, len(lines)):
+                n += len(lines[j][1])
+                if lines[j][0] != lines[j - 1][0] + 1 or n > MOST_WORDS:
+                    break
+                pairs |= inner[j]
+                if cross[j - 1]:
+                    pairs.add(cross[j - 1])
+                if touched[j]:
+                    held = np.bincount([h for p in pairs for h in self.holders[p]], minlength=len(self.sizes))
+                    if (held >= NEAR * self.sizes).any():
+                        found.append((i, j))
+        return found
+
+
 SCALE = 8.0
+#: Words of a window: a template's, and as many of the lines that it begins and ends in.
+MOST_WORDS = 2 * max(len(words(t)) for ts in TEMPLATES.values() for t in ts)
 
 
 def _bigrams(tokens: list[str]) -> frozenset:
@@ -129,6 +175,7 @@ def train(paragraphs: list[str]) -> Model:
     rng = random.Random(SEED)
     families = [UNKNOWN, *sorted(TEMPLATES)]
     known = {tuple(words(t)) for ts in TEMPLATES.values() for t in ts}
+    pairs = [_bigrams(list(t)) for t in known]
     noise = [w for p in paragraphs for w in words(p)[:50]] or [w for p in NEGATIVES for w in words(p)]
     rows, y, held = [], [], []
 
@@ -146,8 +193,9 @@ def train(paragraphs: list[str]) -> Model:
                 extra = [rng.choice(noise) for _ in range(rng.randrange(0, 5) if v else 0)]
                 add(extra + kept if v % 2 else kept + extra, k, v % 5 == 4)
     for v, p in enumerate([*NEGATIVES * 4, *paragraphs]):
-        tokens = words(p)
-        if tuple(tokens) not in known and not any(_holds(tokens, t) for t in known):
+        tokens = bare(p)
+        mine = _bigrams(tokens)
+        if v < 4 * len(NEGATIVES) or not any(len(t & mine) >= NEAR * len(t) for t in pairs):
             add(tokens, 0, v % 5 == 4)
     label, out = np.array(y), np.array(held)
     weights, bias = np.zeros((1 << BITS, len(families)), np.float32), np.zeros(len(families), np.float32)
@@ -185,10 +233,6 @@ def train(paragraphs: list[str]) -> Model:
     return Model(families, weights, bias + b, float(heat))
 
 
-def _holds(tokens: list[str], part: tuple) -> bool:
-    return len(part) >= 3 and any(tuple(tokens[i : i + len(part)]) == part for i, w in enumerate(tokens) if w == part[0])
-
-
 def fit(docs: DataFrame, sample: int = SAMPLE, text_col: str = "text") -> Model:
     """Train with at most about `sample` documents' first and last paragraphs as unknown ones."""
     n = docs.where(F.col(text_col).isNotNull()).count()
@@ -202,7 +246,7 @@ SCHEMA = "doc_id long, paragraph int, family string, probability double, similar
 
 
 def scan(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """SCHEMA: a row for each paragraph that the classifier takes for a licence notice; paragraph counts lines from 0."""
+    """SCHEMA: a row for each paragraph that the classifier takes for a licence notice; paragraph is its first line, counted from 0."""
     model = model or fit(docs, text_col=text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -211,16 +255,25 @@ def scan(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", te
         for b in batches:
             out = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                tokens = [(k, t) for k, line in enumerate((text or "").split("\n")) if (t := words(line))]
-                if not tokens:
+                lines = [(k, t) for k, line in enumerate((text or "").split("\n")) if (t := bare(line))]
+                if not lines:
                     continue
-                p = m.scores([features(t) for _, t in tokens])
+                spans = [(i, i) for i in range(len(lines))] + m.windows(lines)
+                tokens = [t for _, t in lines] + [[w for _, t in lines[i : j + 1] for w in t] for i, j in spans[len(lines) :]]
+                p = m.scores([features(t) for t in tokens])
                 best = p.argmax(axis=1)
-                for i in np.flatnonzero((best > 0) & (p.max(axis=1) >= LEAST_PROBABILITY)).tolist():
-                    k, t = tokens[i]
-                    family = m.families[best[i]]
-                    s = m.similarity(family, t)
-                    out.append((doc, k, family, float(p[i, best[i]]), s, s >= LEAST_SIMILAR))
+                rows = []
+                for k in np.flatnonzero((best > 0) & (p.max(axis=1) >= LEAST_PROBABILITY)).tolist():
+                    i, j = spans[k]
+                    family = m.families[best[k]]
+                    rows.append((-m.similarity(family, tokens[k]), j - i, -float(p[k, best[k]]), i, family))
+                taken: set[int] = set()
+                kept = []
+                for s, more, probability, i, family in sorted(rows):
+                    if taken.isdisjoint(range(i, i + more + 1)):
+                        taken.update(range(i, i + more + 1))
+                        kept.append((doc, lines[i][0], family, -probability, -s, -s >= LEAST_SIMILAR))
+                out += sorted(kept, key=lambda r: r[1])
             cols = list(zip(*out)) if out else [[]] * 6
             types = [pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "paragraph", "family", "probability", "similarity", "confirmed"])
