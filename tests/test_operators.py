@@ -120,13 +120,12 @@ def test_small_cycles_with_their_edges(spark):
     # a <-> b by two kinds, c -> d -> e -> c, f -> g is none
     ix = index(spark, symbols, [edge(1, 2), edge(2, 1), edge(1, 2, "imports"), edge(3, 4), edge(4, 5), edge(5, 3), edge(2, 3), edge(6, 7)])
     ab, cde = "src/a.rs,src/b.rs", "src/c.rs,src/d.rs,src/e.rs"
-    assert {tuple(r) for r in graph.circular(ix).collect()} == {(ab, 2, 3), (cde, 3, 3)}
+    assert {tuple(r) for r in graph.circular(ix).collect()} == {(ab, 2, 3, 2), (cde, 3, 3, 2)}
     row = lambda files, x, y, kind="calls": (files, f"src/{x}.rs", x, f"src/{y}.rs", y, kind)
     want = [row(ab, "a", "b"), row(ab, "a", "b", "imports"), row(ab, "b", "a"), row(cde, "c", "d"), row(cde, "d", "e"), row(cde, "e", "c")]
     assert sorted(tuple(r) for r in graph.cycle_edges(ix).collect()) == want
     assert {r[1] for r in map(tuple, graph.cycle_edges(ix, 2).collect())} == {"src/a.rs", "src/b.rs"} and graph.cycle_edges(ix, 1).count() == 0
-    # the cut of the filtered query keeps none of these edges
-    assert graph.circular(ix, 10, F.expr("(from_symbol_id * 7 + to_symbol_id) % 2700 = 0")).count() == 0
+    assert [r.files for r in graph.circular(ix).collect()] == [ab, cde]
     assert {r.message for r in orient.recommendations(ix).where("kind = 'cycle_warning'").collect()} == {"2 circular dependency cycles detected"}
 
 
@@ -167,3 +166,129 @@ def test_commands_and_runners(spark):
 def test_queries_of_names():
     assert lookup.parse_query("rust:src/a.rs::run") == {"symbol": "run", "file": "src/a.rs", "language": "rust"}
     assert lookup.parse_query("mod::run") == {"symbol": "mod::run", "file": None, "language": None}
+
+
+def test_diff_impact_keeps_a_row_for_each_least_distance(spark):
+    # c calls both seeds' sides: one hop from b, two from a by d
+    ix = index(spark, [(i, f"src/{n}.rs", n, "function", 1, 5) for i, n in enumerate("abcd", 1)], [edge(3, 2), edge(4, 1), edge(3, 4)], [("tests/x.rs", "a", 1)])
+    seeds = ix.symbols.where("symbol in ('a', 'b')")
+    got = graph.diff_impact(ix, seeds, 2, exclude_changed=True, with_tests=True).collect()
+    assert [(r.symbol, r.distance, r.why_included) for r in got[:-1]] == [
+        ("c", 1, "direct called_by neighbor of changed symbol 'b'"), ("d", 1, "direct called_by neighbor of changed symbol 'a'"), ("c", 2, "direct called_by neighbor of changed symbol 'a'"),
+    ]
+    assert [(r.qualified_symbol, r.language, r.provenance) for r in got[:1]] == [("rust:src/c.rs::c", "rust", "call_resolution")]
+    last = got[-1]  # a changed symbol's test stays though its own row goes
+    assert (last.result_kind, last.target, last.target_kind, last.language, last.why_included, last.provenance, last.score) == ("test_target", "tests/x.rs", "integration_test_file", "rust", "references impacted symbol 'a'", "text_fallback", 0.7)
+    own = graph.diff_impact(ix, seeds, 0).collect()
+    assert {(r.symbol, r.distance, r.why_included, r.score) for r in own} == {("a", 0, "symbol defined in changed file", 1.0), ("b", 0, "symbol defined in changed file", 1.0)}
+
+
+def test_tests_for_says_what_and_why(spark):
+    ix = index(spark, tokens=[("tests/run.rs", "build_index", 1), ("tests/run.rs", "build_index", 2), ("tests/common/mod.rs", "build_index", 1), ("tests/part.rs", "index", 1), ("src/a.rs", "build_index", 1)])
+    got = [tuple(r)[:5] for r in testing.tests_for(ix, "build_index", include_support=True).collect()]
+    assert got == [
+        ("tests/run.rs", "integration_test_file", "direct symbol match for 'build_index' in test file", "graph_likely", 0.9),
+        ("tests/part.rs", "integration_test_file", "direct symbol match for 'build_index' in test file", "context_medium", 0.75),
+        ("tests/common/mod.rs", "support_test_file", "direct symbol match for 'build_index' in support path", "context_medium", 0.58),
+    ]
+    assert testing.tests_for(ix, "build_index").count() == 2
+
+
+def test_refactor_plan_is_the_contract(spark):
+    symbols = [(1, "src/a.rs", "run", "function", 1, 9, "pub fn run"), (2, "src/a.rs", "leaf", "function", 20, 24, "fn leaf"), (3, "src/b.rs", "other", "function", 1, 3, "fn other")]
+    ix = index(spark, symbols, [edge(3, 1)], [("tests/run.rs", "run", 1)])
+    plan = diagnostics.refactor_plan(ix, "src/a.rs").collect()
+    assert [(r.priority, r.action, r.confidence, r.risk, r.blockers) for r in plan] == [(1, "analyze-boundary", "high", "low", ""), (2, "address-test-gaps", "medium", "medium", ""), (3, "review-dead-symbols", "medium", "low", "")]
+    assert (plan[0].boundary_public, plan[0].boundary_internal, plan[0].dead_candidates, plan[0].test_gap_state) == (1, 1, 1, "mixed")
+    none = diagnostics.refactor_plan(ix, "src/none.rs").first()
+    assert (none.blockers, none.test_gap_state, none.dead_candidates) == ("coverage state unknown", "unknown", 1)
+    assert [r.step for r in diagnostics.safe_steps(spark, "gone", "rename").collect()] == ["Step 1: Stage the rename change for gone", "Step 2: Run targeted checks", "Step 3: Run full test suite"]
+    with pytest.raises(ValueError, match="unknown action"):
+        diagnostics.safe_steps(spark, "x", "burn")
+    scaffold = diagnostics.test_scaffold(ix, "run").collect()
+    assert [(r.signature, r.target) for r in scaffold] == [("pub fn run", "tests/run.rs")]
+    assert [(r.signature, r.target) for r in diagnostics.test_scaffold(ix, "gone").collect()] == [("<unknown>", None)]
+
+
+def test_registry_lists_seven_documents(spark):
+    assert [(r.command, r.schema) for r in lookup.schema_registry(spark).collect()] == [(c, f"trellis/{c}@v1") for c in ("status", "find", "refs", "resolve", "query", "refactor-plan", "error")]
+
+
+def test_anatomy_and_tree_of_small_files(spark):
+    symbols = [(1, "src/a.rs", "z", "function", 5, 9), (2, "src/a.rs", "A", "struct", 5, 6), (3, "src/sub/b.rs", "q", "function", 1, 2), (4, "z.rs", "r", "function", 1, 1)]
+    ix = index(spark, symbols, [edge(1, 3), edge(4, 3)], files=[("src/a.rs", "x\n" * 9), ("src/sub/b.rs", "x"), ("z.rs", "x"), ("src/c.rs", "")])
+    assert [(r.symbol, r.kind, r.start_line, r.total_symbols, r.function_count) for r in diagnostics.anatomy(ix, "src/a.rs").collect()] == [("A", "struct", 5, 2, 1), ("z", "function", 5, 2, 1)]
+    got = [(r.path, r.kind, r.symbol_count, r.total_files, r.total_symbols, r.imports, r.used_by) for r in orient.tree(ix, 3).collect()]
+    assert got == [
+        (".", "directory", 0, 4, 4, None, None), ("src", "directory", 0, 3, 3, None, None), ("src/sub", "directory", 0, 1, 1, None, None), ("src/sub/b.rs", "file", 1, 1, 1, None, "src/a.rs,z.rs"),
+        ("src/a.rs", "file", 2, 1, 2, "src/sub/b.rs", None), ("src/c.rs", "file", 0, 1, 0, None, None), ("z.rs", "file", 1, 1, 1, "src/sub/b.rs", None),
+    ]
+    assert [r.path for r in orient.tree(ix, 1, deps=False).collect()] == [".", "src", "z.rs"]
+
+
+def test_health_baseline(spark, tmp_path):
+    ix = index(spark, [(1, "src/a.rs", "f", "function", 1, 30)], files=[("src/a.rs", "x\n" * 40)])
+    now, path = diagnostics.health_files(ix), str(tmp_path / "baseline")
+    assert diagnostics.load_baseline(spark, path) is None
+    diagnostics.save_baseline(now, path)
+    later = index(spark, files=[("src/a.rs", "x\n" * 55)])
+    assert tuple(diagnostics.health_diff(diagnostics.health_files(later), diagnostics.load_baseline(spark, path)).first()) == (41, 56, 15)
+
+
+def test_batches_from_files(spark, tmp_path):
+    from trellis.sources import requests
+
+    ix = index(spark, [(1, "src/a.rs", "run", "function", 3, 9)], tokens=[("src/a.rs", "run", 3), ("src/b.rs", "runner", 1), ("src/c.rs", "x100%", 1)])
+    (tmp_path / "a.json").write_text('[{"id": "q1", "command": "find", "symbol": "run"}, {"command": "drop", "symbol": "x"}, {"id": "q3", "command": "find", "symbol": "unne"}]')
+    (tmp_path / "a.jsonl").write_text('{"id": "q1", "command": "refs", "symbol": "nothing"}\n\n{"id": "q2"}\n')
+    asked = requests.read_requests(spark, str(tmp_path / "a.json"))
+    assert [tuple(r) for r in asked.orderBy("position").collect()] == [(1, "q1", "find", "run"), (2, "request", "drop", "x"), (3, "q3", "find", "unne")]
+    answers = lookup.batch(ix, asked)
+    assert [(r.position, r.file_path, r.score, r.error) for r in answers.collect()] == [(1, "src/a.rs", 1.0, None), (2, None, None, "unsupported command 'drop'"), (3, "src/b.rs", 0.4, None)]
+    assert [r.position for r in lookup.batch(ix, asked, fail_fast=True).collect()] == [1, 2]
+    documents = [r.json for r in requests.responses(answers, asked).collect()]
+    assert documents[1] == '{"id":"request","ok":false,"error":{"code":"UNSUPPORTED_BATCH_COMMAND","message":"unsupported command \'drop\'"}}'
+    assert documents[2].startswith('{"id":"q3","ok":true,"command":"find","data":{"query":"unne","results":[{"file_path":"src/b.rs","line":1,')
+    lines = requests.read_requests(spark, str(tmp_path / "a.jsonl"), "jsonl")
+    assert [tuple(r) for r in lines.orderBy("position").collect()] == [(1, "q1", "refs", "nothing"), (2, "q2", "", "")]
+    assert requests.responses(lookup.batch(ix, lines), lines).first().json == '{"id":"q1","ok":true,"command":"refs","data":{"query":"nothing","results":[]}}'
+    (tmp_path / "bad.json").write_text('{"id": "q1"}, nonsense')
+    with pytest.raises(Exception, match="must be an array"):
+        requests.read_requests(spark, str(tmp_path / "bad.json")).collect()
+
+
+def test_errors_are_documents():
+    import json
+
+    from trellis import errors
+
+    e = errors.PartialData("lacks rows", "verify-refactor", {"rows": 3})
+    assert json.loads(e.document()) == {"schema": "trellis/error@v1", "command": "verify-refactor", "ok": False, "error": {"code": "PARTIAL_DATA", "message": "lacks rows", "details": {"rows": 3}}}
+    assert [c.exit_code for c in (errors.UsageError, errors.StaleIndex, errors.TrellisError, errors.PartialData)] == [2, 3, 4, 5]
+
+
+def test_edges_to_gone_symbols_are_pruned(spark):
+    ix = index(spark, [(1, "a.rs", "a", "function", 1, 1), (2, "b.rs", "b", "function", 1, 1)], [edge(1, 2), edge(2, 1), edge(1, 9), edge(9, 2)])
+    assert {(r.from_symbol_id, r.to_symbol_id) for r in resolve.prune_edges(ix.edges, ix.symbols).collect()} == {(1, 2), (2, 1)}
+    last = spark.createDataFrame([(1, 2, "calls", 0.95, "a", 1), (1, 2, "calls", 0.5, "b", 2)], "from_symbol_id long, to_symbol_id long, edge_kind string, confidence double, provenance string, turn int")
+    assert [(r.confidence, r.provenance) for r in resolve.upsert_edges(last).collect()] == [(0.5, "b")]
+
+
+def test_many_values_are_joined_instead_of_pushed(spark, monkeypatch):
+    from trellis import schemas
+
+    df = spark.createDataFrame([(i, i % 3) for i in range(30)], "x int, y int")
+    few = df.where("x < 4").select("x")
+    got = lambda: sorted(map(tuple, schemas.picked(df, "x", few).collect()))
+    pushed = got()
+    monkeypatch.setattr(schemas, "MOST_LITERALS", 2)
+    assert got() == pushed == [(0, 0), (1, 1), (2, 2), (3, 0)]
+
+
+def test_lookups_push_their_names_to_the_stored_index(spark, sf):
+    from trellis.plans import queries
+
+    plan = queries.queries()["find_ast"](spark, sf)._jdf.queryExecution().toString()
+    assert "EqualTo(symbol,The)" in plan and "regexp_extract" not in plan
+    plan = queries.queries()["impact"](spark, sf)._jdf.queryExecution().toString()
+    assert "PushedFilters: [In(to_symbol_id" in plan or "PushedFilters: [IsNotNull(to_symbol_id), EqualTo(to_symbol_id" in plan

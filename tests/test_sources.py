@@ -4,7 +4,8 @@ import subprocess
 import pytest
 
 from trellis.operators import graph, lookup
-from trellis.sources import repo
+from trellis import errors
+from trellis.sources import adapters, repo
 from trellis.sources.extract import braces, python
 from trellis.streaming import upsert
 
@@ -130,7 +131,7 @@ def test_index_of_a_tree(spark, tree):
     old, new = ({(r.file_path, r.symbol, r.kind): r.symbol_id for r in x.symbols.collect()} for x in (back, again))
     assert all(new[k] == v for k, v in old.items() if k in new) and new["src/util.rs", "fresh", "function"] == len(ids) + 1
     assert repo.freshness(files, 0.0, None, None) == "stale" and repo.freshness(files, 1e12, "a", "a") == "fresh"
-    with pytest.raises(repo.StaleIndex):
+    with pytest.raises(errors.StaleIndex):
         repo.freshness(files, 1e12, "a", "b", require=True)
 
 
@@ -147,6 +148,43 @@ def test_git_sources(spark, tree):
     assert repo.changed_files(str(tree), since=first, named=["./z.py"]) == ["src/pkg/test_job.py", "src/util.rs", "z.py"]
     got = {(r.file_path, r.status, r.is_test) for r in repo.verify_refactor(spark, str(tree), first, "HEAD").collect()}
     assert got == {("src/util.rs", "D", False), ("src/pkg/test_job.py", "A", True)}
+    with pytest.raises(errors.PartialData, match="2 changed file"):
+        repo.verify_refactor(spark, str(tree), first, "HEAD", strict=True)
+    with pytest.raises(errors.PartialData, match="not provided"):
+        repo.verify_refactor(spark, str(tree), first, strict=True)
+    assert repo.verify_refactor(spark, str(tree), "nosuch", "HEAD").count() == 0
+
+
+def test_named_files_are_relative(tmp_path):
+    root = str(tmp_path)
+    assert [repo.relative(root, x) for x in ("./a/b.rs", ".\\c.rs", f"{root}/d.rs", "/elsewhere/e.rs")] == ["a/b.rs", ".\\c.rs".replace("\\", "/"), "d.rs", "/elsewhere/e.rs"]
+
+
+def test_an_index_is_made_anew_when_stale(spark, tree, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("index") / "ix")
+    first = repo.index(spark, str(tree), path).first()
+    assert first.indexed_files == 6 and first.unchanged_files == 0
+    again = repo.index(spark, str(tree), path).first()
+    assert again.indexed_files == 0 and again.unchanged_files == 6
+    later = again.indexed_at + 100
+    (tree / "src/util.rs").write_text("pub fn brand_new() {}\n")
+    os.utime(tree / "src/util.rs", (later, later))
+    assert repo.ensure(spark, str(tree), path).symbols.where("symbol = 'brand_new'").count() == 0
+    with pytest.raises(errors.StaleIndex):
+        repo.ensure(spark, str(tree), path, require_fresh=True)
+    assert repo.ensure(spark, str(tree), path, auto_index=True).symbols.where("symbol = 'brand_new'").count() == 1
+
+
+def test_stored_snapshots_follow_their_input(spark, tmp_path):
+    from trellis.sources import snapshot
+
+    sf = str(tmp_path)
+    spark.createDataFrame([(1, "alpha beta\nalpha", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{sf}/documents.parquet")
+    first = adapters.corpus(spark, sf)
+    assert first is adapters.corpus(spark, sf) and first.names.count() == 2
+    spark.createDataFrame([(1, "gamma", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars int").write.mode("overwrite").parquet(f"{sf}/documents.parquet")
+    assert [r.symbol for r in adapters.corpus(spark, sf).names.collect()] == ["gamma"]
+    assert snapshot.fingerprint(spark, sf, ("documents",)) != snapshot.fingerprint(spark, "/root/testdata/sf0.001", ("documents",))
 
 
 def test_stream_of_changes(spark, tmp_path):

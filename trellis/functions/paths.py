@@ -50,6 +50,13 @@ def in_scope(p: Column, scope: str) -> Column:
     return is_test(p) if scope == "tests" else F.lit(True)
 
 
+def in_rename_scope(p: Column, include_tests: bool, include_fixtures: bool) -> Column:
+    ok = F.lit(True)
+    if not include_fixtures:
+        ok = ok & ~is_fixture(p)
+    return ok if include_tests else ok & ~is_test(p)
+
+
 def query_scope(p: Column, code_only: bool = False, exclude_tests: bool = False) -> Column:
     ok = F.lit(True)
     if code_only:
@@ -83,7 +90,7 @@ def normalized(p: Column) -> Column:
 def glob_regex(glob: str) -> str:
     """An exclude glob as a regular expression: dir/**, exact, or segments matched leftmost first, without backtracking."""
     if glob.endswith("/**"):
-        return f"^{re.escape(glob[:-3])}(/.*)?$"
+        return f"^{re.escape(glob[:-3].rstrip('/'))}(/.*)?$"
     if "*" not in glob:
         return f"^{re.escape(glob)}$"
     parts = [p for p in glob.split("*") if p]
@@ -94,7 +101,8 @@ def glob_regex(glob: str) -> str:
 
 
 def excluded(p: Column, globs: list[str]) -> Column:
+    """Whether a path matches one of the globs, both normalised."""
     hit = F.lit(False)
     for g in globs:
-        hit = hit | p.rlike(glob_regex(g))
+        hit = hit | normalized(p).rlike(glob_regex(re.sub(r"^(\./)+", "", g.replace("\\", "/").strip()).lstrip("/")))
     return hit

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import workdir
 from ..functions import paths, scoring
-from ..schemas import Index
+from ..schemas import Index, picked
 from . import graph, lookup
 
 
@@ -22,14 +23,30 @@ def health_functions(ix: Index, top: int = 20, threshold: int = 0) -> DataFrame:
     return out.orderBy(F.desc("line_count"), "file_path", "symbol", "start_line").limit(top)
 
 
+def save_baseline(report: DataFrame, path: str) -> None:
+    """Keep a health report (health_files or health_functions) as the baseline of later ones."""
+    report.coalesce(1).write.mode("overwrite").json(path)
+
+
+def load_baseline(spark: SparkSession, path: str) -> DataFrame | None:
+    """The report kept at path; None where there is none."""
+    p, fs = workdir.file_system(spark, path)
+    return spark.read.schema("file_path string, symbol string, line_count int, symbol_count long, start_line int").json(path) if fs.exists(p) else None
+
+
 def health_diff(now: DataFrame, baseline: DataFrame) -> DataFrame:
     """Change of the largest line count between two health reports (line_count)."""
-    a, b = (df.agg(F.coalesce(F.max("line_count"), F.lit(0)).alias(n)).withColumn("k", F.lit(1)) for df, n in ((now, "current"), (baseline, "before")))
-    return a.join(b, "k").select("before", "current", (F.col("current") - F.col("before")).alias("delta"))
+    both = now.select(F.lit(1).alias("new"), "line_count").unionByName(baseline.select(F.lit(0).alias("new"), "line_count"))
+    most = lambda new: F.coalesce(F.max(F.when(F.col("new") == new, F.col("line_count"))), F.lit(0))
+    return both.agg(most(0).alias("before"), most(1).alias("current")).withColumn("delta", F.col("current") - F.col("before"))
 
 
 def anatomy(ix: Index, file: str) -> DataFrame:
-    return ix.symbols.where(F.col("file_path") == file).groupBy("kind").agg(F.count("*").alias("symbols"), F.sum("line_count").alias("lines"), F.max("end_line").alias("last_line"))
+    """A file's symbols by place, each row with the number of all and of functions."""
+    rows = ix.by_file.where(F.col("file_path") == file).select("symbol", "kind", "start_line", "line_count", "file_path")
+    whole = Window.partitionBy("file_path")
+    rows = rows.withColumns({"total_symbols": F.count("*").over(whole), "function_count": F.count_if(F.col("kind") == "function").over(whole)})
+    return rows.orderBy("start_line", "symbol", "kind").drop("file_path")
 
 
 def coupling(ix: Index, limit: int = 20, scope: str = "all") -> DataFrame:
@@ -67,21 +84,27 @@ def dead(ix: Index, aggressive: bool = False) -> DataFrame:
         rows = rows.where(leaf)
     label = F.when(leaf, "high").when(~public, "medium").otherwise("low")
     reason = F.when(leaf, "private leaf function has no inbound or outbound symbol edges").when(~public, "private symbol has no inbound symbol edges").otherwise("public/exported symbol has no inbound symbol edges in indexed scope")
-    return rows.select("file_path", "symbol", "kind", F.col("start_line").alias("line"), label.alias("confidence"), reason.alias("reason"))
+    return rows.select("file_path", "symbol", "kind", F.col("start_line").alias("line"), label.alias("confidence"), reason.alias("reason")).orderBy("file_path", "line", "symbol", "kind")
 
 
-def _mentions(ix: Index) -> DataFrame:
-    """In how many test-like files each token stands."""
-    return ix.tokens.where(paths.is_test_like(F.col("file_path"))).groupBy("symbol").agg(F.count_distinct("file_path").alias("test_files"))
+def _mentions(ix: Index, names: DataFrame | None = None) -> DataFrame:
+    """In how many test-like files each token (of names, if given) stands."""
+    return (ix.tokens if names is None else picked(ix.tokens, "symbol", names)).where(paths.is_test_like(F.col("file_path"))).groupBy("symbol").agg(F.count_distinct("file_path").alias("test_files"))
 
 
 def test_gaps(ix: Index, target: str, min_risk: str | None = None) -> DataFrame:
-    """Functions of a file (a target with /) or name, with the test files that mention them. min_risk compares the labels as text."""
-    some = ix.symbols.where((F.col("kind") == "function") & (F.col("file_path" if "/" in target else "symbol") == target))
+    """Functions of a file (a target with /) or name, with the test files that mention them and the state of all together.
+
+    analysis_state counts every function; min_risk, which compares the labels as text, then drops rows.
+    """
+    some = ix.by_file.where((F.col("kind") == "function") & (F.col("file_path") == target)) if "/" in target else ix.symbols.where((F.col("kind") == "function") & (F.col("symbol") == target))
     rows = some.groupBy("symbol", "line_count").agg(F.max(F.col("end_line") - F.col("start_line") + 1).alias("span"))
-    rows = rows.join(_mentions(ix), "symbol", "left").select("symbol", F.coalesce("line_count", "span").alias("line_count"), F.coalesce("test_files", F.lit(0)).alias("test_hits"))
+    rows = rows.join(_mentions(ix, rows.select("symbol")), "symbol", "left").select("symbol", F.coalesce("line_count", "span").alias("line_count"), F.coalesce("test_files", F.lit(0)).alias("test_hits"))
     rows = rows.withColumn("risk", scoring.risk(F.col("line_count"))).withColumn("coverage_status", F.when(F.col("test_hits") > 0, "covered").otherwise("uncovered"))
-    return rows.where(F.col("risk") >= min_risk) if min_risk else rows
+    rows = workdir.stage(rows, "gaps")
+    state = test_gap_state(rows).first().analysis_state
+    rows = rows.withColumn("analysis_state", F.lit(state))
+    return (rows.where(F.col("risk") >= min_risk) if min_risk else rows).orderBy("symbol", "line_count")
 
 
 def test_gap_state(gaps: DataFrame) -> DataFrame:
@@ -105,13 +128,13 @@ def suggest(ix: Index, top: int = 10, safe_only: bool = False, min_score: float
 
 
 def boundary(ix: Index, file: str, public_only: bool = False) -> DataFrame:
-    """Symbols of a file with their references from other files."""
-    mine = ix.symbols.where(F.col("file_path") == file)
-    outside = ix.symbols.where(F.col("file_path") != file).select(F.col("symbol_id").alias("from_symbol_id"))
-    into = ix.edges.join(F.broadcast(mine.select(F.col("symbol_id").alias("to_symbol_id"))), "to_symbol_id").join(outside, "from_symbol_id", "left_semi")
-    refs = into.groupBy(F.col("to_symbol_id").alias("symbol_id")).agg(F.count("*").alias("external_references"))
+    """Symbols of a file with their references from other files: public ones first, then the most referred to."""
+    mine = ix.by_file.where(F.col("file_path") == file)
+    into = picked(ix.edges, "to_symbol_id", mine.select("symbol_id"))
+    own = mine.select(F.col("symbol_id").alias("from_symbol_id"))
+    refs = into.join(own, "from_symbol_id", "left_anti").groupBy(F.col("to_symbol_id").alias("symbol_id")).agg(F.count("*").alias("external_references"))
     rows = mine.join(refs, "symbol_id", "left").select("symbol", "kind", _public(mine).alias("is_public"), F.coalesce("external_references", F.lit(0)).alias("external_references"))
-    return rows.where("is_public") if public_only else rows
+    return (rows.where("is_public") if public_only else rows).orderBy(F.desc("is_public"), F.desc("external_references"), "symbol", "kind")
 
 
 class OutOfRange(ValueError):
@@ -164,44 +187,57 @@ def move_check(ix: Index, symbol: str) -> DataFrame:
     return _counted(references=lookup.refs(ix, symbol), dependents=graph.impact(ix, symbol), tests=testing.tests_for(ix, symbol, include_support=True))
 
 
-def rename_check(ix: Index, symbol: str, scope: str = "all") -> DataFrame:
-    """Semantic references and plain mentions of a name, in all files and in scope."""
+def rename_check(ix: Index, symbol: str, include_tests: bool = False, include_fixtures: bool = False) -> DataFrame:
+    """References (or, without any, text matches) and plain mentions of a name: in all files, and in those in scope."""
     p = F.col("file_path")
-    ok = paths.in_scope(p, scope)
-    semantic = lookup.references(ix, symbol).agg(F.count("*").alias("semantic_total"), F.count_if(ok).alias("semantic_in_scope")).withColumn("k", F.lit(1))
-    lexical = ix.tokens.where(F.col("symbol") == symbol).agg(F.count("*").alias("lexical_total"), F.count_if(ok).alias("lexical_in_scope"), F.count_distinct("file_path").alias("lexical_files")).withColumn("k", F.lit(1))
-    return semantic.join(lexical, "k").drop("k")
+    ok = paths.in_rename_scope(p, include_tests or include_fixtures, include_fixtures)
+    semantic = lookup.refs(ix, symbol).select(F.lit(1).alias("semantic"), ok.alias("ok"), "file_path")
+    lexical = ix.tokens.where(F.col("symbol") == symbol).select(F.lit(0).alias("semantic"), ok.alias("ok"), "file_path")
+    is_semantic = F.col("semantic") == 1
+    return semantic.unionByName(lexical).agg(
+        F.count_if(is_semantic).alias("semantic_total"), F.count_if(is_semantic & F.col("ok")).alias("semantic_in_scope"), F.count_if(~is_semantic).alias("lexical_total"), F.count_if(~is_semantic & F.col("ok")).alias("lexical_in_scope"),
+    )
 
 
-def split_check(ix: Index, file: str) -> DataFrame:
-    rows = ix.symbols.where(F.col("file_path") == file)
-    return rows.agg(F.count("*").alias("symbols"), F.count_if(F.col("kind") == "function").alias("functions"), F.count_distinct("kind").alias("kinds"), F.coalesce(F.sum("line_count"), F.lit(0)).alias("lines"))
+def split_check(ix: Index, file: str, auto: bool = False, groups: str | None = None) -> DataFrame:
+    """Symbols and functions of a file that may be split, and the mode asked for."""
+    mode = "auto" if auto else "manual" if groups is not None else "none"
+    rows = ix.by_file.where(F.col("file_path") == file)
+    return rows.agg(F.lit(file).alias("file"), F.lit(mode).alias("mode"), F.count("*").alias("symbol_count"), F.count_if(F.col("kind") == "function").alias("function_count"))
 
 
-#: Steps of a careful refactoring, in order.
-SAFE_STEPS = ("run the targeted tests of the change", "make one mechanical change", "run the targeted tests again", "check references and dependents", "run the full suite")
+#: What a refactoring may do, and the steps that go with it.
+ACTIONS = ("extract", "move", "rename", "split")
 
 
-def safe_steps(ix: Index, symbol: str) -> DataFrame:
-    spark = ix.symbols.sparkSession
-    steps = spark.createDataFrame([(i + 1, s, symbol) for i, s in enumerate(SAFE_STEPS)], "position int, step string, symbol string")
-    return steps.join(ix.symbols.where(F.col("symbol") == symbol).select("symbol").distinct(), "symbol", "left_semi").select("position", "step")
+def safe_steps(spark: SparkSession, symbol: str, action: str) -> DataFrame:
+    """The steps of a refactoring of a symbol, known to the index or not."""
+    if action not in ACTIONS:
+        raise ValueError(f"unknown action: {action}")
+    steps = (f"Step 1: Stage the {action} change for {symbol}", "Step 2: Run targeted checks", "Step 3: Run full test suite")
+    return spark.createDataFrame([(i, symbol, action, s) for i, s in enumerate(steps, 1)], "position int, symbol string, action string, step string").orderBy("position")
 
 
 def test_scaffold(ix: Index, symbol: str) -> DataFrame:
-    """Where a name is defined, its signature, and how many test files mention it already."""
-    known = _mentions(ix).where(F.col("symbol") == symbol)
-    return ix.symbols.where(F.col("symbol") == symbol).join(known, "symbol", "left").select("symbol", "file_path", "start_line", "signature", F.coalesce("test_files", F.lit(0)).alias("test_files"), F.concat(F.lit("test_"), F.lower("symbol")).alias("suggested_name"))
+    """The signature of a name's first definition (<unknown> without one) beside each test that there is already, or one row without any."""
+    from . import testing
 
+    first = ix.symbols.where(F.col("symbol") == symbol).agg(F.min_by(F.struct("signature"), F.struct("file_path", "start_line", "start_column", "kind", "symbol_id")).alias("s")).first().s
+    signature = first.signature if first and first.signature is not None else "<unknown>"
+    head = ix.symbols.sparkSession.createDataFrame([(symbol, signature)], "symbol string, signature string")
+    tests = testing.tests_for(ix, symbol, include_support=True).withColumn("symbol", F.lit(symbol))
+    return head.join(tests, "symbol", "left").orderBy(F.desc("runnable"), F.desc("hits"), "target")
 
-def refactor_plan(ix: Index, file: str) -> DataFrame:
-    """Three actions for a file, each with the facts that bear on it and whether they block."""
-    counts = _counted(
-        public=boundary(ix, file, public_only=True).where("external_references > 0"), dead=dead(ix).where(F.col("file_path") == file), uncovered=test_gaps(ix, file).where("test_hits = 0"),
-    )
-    actions = F.explode(F.array(
-        F.struct(F.lit(1).alias("position"), F.lit("remove dead symbols").alias("action"), F.col("dead").alias("facts"), F.lit(False).alias("blocked")),
-        F.struct(F.lit(2).alias("position"), F.lit("cover untested functions").alias("action"), F.col("uncovered").alias("facts"), F.lit(False).alias("blocked")),
-        F.struct(F.lit(3).alias("position"), F.lit("move or rename public symbols").alias("action"), F.col("public").alias("facts"), (F.col("public") > 0).alias("blocked")),
-    ))
-    return counts.select(actions.alias("a")).select("a.*")
+
+def refactor_plan(ix: Index, target: str) -> DataFrame:
+    """Three actions for a file or name, each with its confidence and risk, what blocks it, and the facts behind."""
+    spark = ix.symbols.sparkSession
+    sides = boundary(ix, target).agg(F.count_if("is_public").alias("public"), F.count_if(~F.col("is_public")).alias("internal")).first()
+    unused = dead(ix).count()
+    gaps = test_gap_state(test_gaps(ix, target)).first()
+    covered = gaps.uncovered == 0
+    blockers = "coverage state unknown" if gaps.analysis_state == "unknown" else ""
+    #: Action, confidence and risk in their order.
+    actions = (("analyze-boundary", "high", "low"), ("address-test-gaps", "high" if covered else "medium", "low" if covered else "medium"), ("review-dead-symbols", "medium", "low"))
+    rows = [(i, *a, blockers, sides.public, sides.internal, unused, gaps.analysis_state) for i, a in enumerate(actions, 1)]
+    return spark.createDataFrame(rows, "priority int, action string, confidence string, risk string, blockers string, boundary_public long, boundary_internal long, dead_candidates long, test_gap_state string").orderBy("priority")

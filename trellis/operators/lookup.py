@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import workdir
 from ..functions import paths, scoring
 from ..functions import text as tx
-from ..schemas import Index
+from ..schemas import MOST_LITERALS, Index, picked
 
 RANKED = ["path_rank", "file_path", "line", "column", "symbol", "why_matched"]
 MATCH = ["file_path", "line", "column", "symbol", "why_matched", "confidence", "score"]
@@ -26,39 +29,52 @@ def references(ix: Index, symbol: str) -> DataFrame:
 
 
 def text_matches(ix: Index, symbol: str, code_only: bool = False, exclude_tests: bool = False) -> DataFrame:
-    """Tokens equal to symbol, then those that contain it (ASCII case-insensitive; _ and % are wildcards)."""
-    tokens = ix.tokens.where(paths.query_scope(F.col("file_path"), code_only, exclude_tests))
-    exact = _match(tokens.where(F.col("symbol") == symbol), "exact_symbol_name", "text_fallback", 0.8)
-    part = _match(tokens.where(F.col("symbol").ilike(f"%{symbol}%") & (F.col("symbol") != symbol)), "text_substring_match", "text_fallback", 0.4)
-    return exact.unionByName(part)
+    """Tokens equal to symbol, then those that contain it (ASCII case-insensitive; _ and % are wildcards).
+
+    The pattern is tried on distinct names; tokens of the names found are then looked up.
+    """
+    like = ix.names.where((F.col("symbol") == symbol) | F.col("symbol").ilike(f"%{symbol}%")).select("symbol")
+    tokens = picked(ix.tokens, "symbol", like).where(paths.query_scope(F.col("file_path"), code_only, exclude_tests))
+    exact = F.col("symbol") == symbol
+    return tokens.select(
+        "file_path", "line", "column", "symbol", F.when(exact, "exact_symbol_name").otherwise("text_substring_match").alias("why_matched"), F.lit("text_fallback").alias("confidence"), F.when(exact, 0.8).otherwise(0.4).alias("score"),
+    )
 
 
-def with_fallback(semantic: DataFrame, text: DataFrame, symbol: str) -> DataFrame:
-    """Semantic matches, or text matches where there are none."""
-    any_hit = semantic.limit(1).select(F.lit(symbol).alias("hit"))
-    asked = text.withColumn("hit", F.lit(symbol))
-    return semantic.unionByName(asked.join(any_hit, "hit", "left_anti").drop("hit"))
+def in_order(matches: DataFrame) -> DataFrame:
+    """Best score first, then code, tests and other files, then by place."""
+    out = matches.withColumn("path_rank", paths.class_rank(F.col("file_path")))
+    return out.orderBy(F.desc("score"), *RANKED).drop("path_rank")
 
 
 def find(ix: Index, symbol: str, code_only: bool = False, exclude_tests: bool = False) -> DataFrame:
-    return with_fallback(definitions(ix, symbol), text_matches(ix, symbol, code_only, exclude_tests), symbol)
+    """Definitions of a name, or text matches where there are none (one row is probed)."""
+    found = definitions(ix, symbol)
+    return in_order(text_matches(ix, symbol, code_only, exclude_tests) if found.isEmpty() else found)
 
 
 def refs(ix: Index, symbol: str, code_only: bool = False, exclude_tests: bool = False) -> DataFrame:
-    return with_fallback(references(ix, symbol), text_matches(ix, symbol, code_only, exclude_tests), symbol)
+    """References of a name, or text matches where there are none (one row is probed)."""
+    found = references(ix, symbol)
+    return in_order(text_matches(ix, symbol, code_only, exclude_tests) if found.isEmpty() else found)
 
 
-def rank(matches: DataFrame, limit: int | None = None, scope: str = "all", file: str | None = None, language: str | None = None, exclude: tuple[str, ...] = (), include_fixtures: bool = False, prefer_file: str | None = None, prefer_language: str | None = None) -> DataFrame:
-    """The caller's filters, preferences and limit, after the fallback was decided."""
-    p = F.col("file_path")
+def path_filter(p: Column, scope: str = "all", file: str | None = None, lang: str | None = None, exclude: tuple[str, ...] = ()) -> Column:
+    """The caller's filters of paths: scope, one file, a language by extension, excluded globs."""
     ok = paths.in_scope(p, scope) & ~paths.excluded(p, list(exclude))
     if file:
         ok = ok & (paths.normalized(p) == paths.normalized(F.lit(file)))
-    if language:
-        ok = ok & (paths.language(p) == language.lower())
-    out = matches.where(ok).withColumn("score", scoring.preference(F.col("score"), p, include_fixtures, prefer_file, prefer_language)).withColumn("path_rank", paths.class_rank(p))
-    out = out.orderBy(F.desc("score"), *RANKED)
-    return (out if limit is None else out.limit(limit)).drop("path_rank")
+    if lang:
+        ok = ok & (paths.language(p) == lang.lower())
+    return ok
+
+
+def rank(matches: DataFrame, limit: int | None = None, scope: str = "all", file: str | None = None, language: str | None = None, exclude: tuple[str, ...] = (), include_fixtures: bool = False, prefer_file: str | None = None, prefer_language: str | None = None) -> DataFrame:
+    """The caller's filters, preferences and limit, after the fallback was decided."""
+    p = F.col("file_path")
+    out = matches.where(path_filter(p, scope, file, language, exclude)).withColumn("score", scoring.preference(F.col("score"), p, include_fixtures, prefer_file, prefer_language))
+    out = in_order(out)
+    return out if limit is None else out.limit(limit)
 
 
 def grouped(matches: DataFrame) -> DataFrame:
@@ -72,15 +88,23 @@ def did_you_mean(ix: Index, symbol: str, limit: int = 5) -> DataFrame:
     return ix.symbols.where(F.col("symbol").ilike(f"%{symbol}%")).select("symbol").distinct().orderBy(F.length("symbol"), "symbol").limit(limit)
 
 
-def resolve_candidates(ix: Index, symbol: str, limit: int = 50, kind: str | None = None, language: str | None = None) -> DataFrame:
-    """Candidates of a name, exact first; the limit comes before the filters."""
+def resolve_candidates(ix: Index, symbol: str, limit: int = 50, kind: str | None = None, language: str | None = None, **filters) -> DataFrame:
+    """Candidates of a name, exact first; the limit comes before the filters (kind, language, and those of rank by path).
+
+    ambiguous: whether more than one is left; recommended: the first of them.
+    """
     exact = (F.col("symbol") == symbol).cast("int")
-    some = ix.symbols.where(F.col("symbol").ilike(f"%{symbol}%")).orderBy(exact.desc(), "symbol", "file_path", "start_line").limit(limit)
+    order = [F.col("exact").desc(), "symbol", "file_path", "start_line", "symbol_id"]
+    some = ix.symbols.where(F.col("symbol").ilike(f"%{symbol}%")).withColumn("exact", exact).orderBy(*order).limit(limit)
     if kind:
         some = some.where(F.col("kind") == kind)
     if language:
         some = some.where(F.col("language") == language)
-    return some.select("symbol_id", "symbol", "qualified_symbol", "kind", "language", "file_path", F.col("start_line").alias("line"), "signature")
+    some = some.where(path_filter(F.col("file_path"), **filters))
+    # at most limit rows
+    whole = Window.partitionBy(F.lit(0))
+    some = some.withColumns({"ambiguous": F.count("*").over(whole) > 1, "recommended": F.row_number().over(whole.orderBy(*order)) == 1})
+    return some.orderBy(*order).select("symbol_id", "symbol", "qualified_symbol", "kind", "language", "file_path", F.col("start_line").alias("line"), "signature", "ambiguous", "recommended")
 
 
 def parse_query(query: str) -> dict[str, str | None]:
@@ -93,53 +117,96 @@ def parse_query(query: str) -> dict[str, str | None]:
     return {"symbol": query, "file": None, "language": None}
 
 
-def batch(ix: Index, requests: DataFrame) -> DataFrame:
-    """find and refs for a whole table of requests (id, command, symbol) in one plan; other commands give an error row."""
-    asked = requests.select("id", "command", "symbol")
-    request = F.broadcast(asked)
-    defs = definitions_of(ix.symbols).join(request.where("command = 'find'"), "symbol")
-    uses = _match(ix.references.distinct(), "ast_reference", "ast_likely", 0.95).join(request.where("command = 'refs'"), "symbol")
-    semantic = defs.unionByName(uses)
-    open_ = asked.where("command in ('find', 'refs')").join(semantic.select("id").distinct(), "id", "left_anti").withColumnRenamed("symbol", "wanted")
-    t = ix.tokens.select("file_path", "symbol", "line", "column")
-    hit = t.join(F.broadcast(open_), F.expr("symbol ilike concat('%', wanted, '%')"))
-    exact = F.col("symbol") == F.col("wanted")
-    text = hit.select(
-        "id", "command", "file_path", "line", "column", "symbol", F.when(exact, "exact_symbol_name").otherwise("text_substring_match").alias("why_matched"), F.lit("text_fallback").alias("confidence"), F.when(exact, 0.8).otherwise(0.4).alias("score"),
-    )
-    wrong = asked.where("command not in ('find', 'refs')").select("id", "command", F.concat(F.lit("unsupported command: "), "command").alias("error"))
-    return semantic.unionByName(text).unionByName(wrong, allowMissingColumns=True)
+def find_qualified(ix: Index, query: str, **filters) -> DataFrame:
+    """find of a name that may carry its language and file, which are then preferred."""
+    asked = parse_query(query)
+    return rank(find(ix, asked["symbol"]), prefer_file=asked["file"], prefer_language=asked["language"], **filters)
+
+
+def batch(ix: Index, requests: DataFrame, fail_fast: bool = False) -> DataFrame:
+    """find and refs for a table of requests (position, id, command, symbol), in their order; other commands give an error row.
+
+    With fail_fast nothing after the first unsupported request is answered.
+    Names are looked up by equality; patterns of what is left are tried on the
+    distinct names only, as literals, in blocks of MOST_LITERALS requests.
+    """
+    spark = ix.symbols.sparkSession
+    asked = requests.select("position", "id", "command", "symbol")
+    wrong = ~F.col("command").isin("find", "refs")
+    if fail_fast and (stop := asked.where(wrong).agg(F.min("position")).first()[0]) is not None:
+        asked = asked.where(F.col("position") <= stop)
+    mine = asked.select("position", "id", "command", "symbol")
+    finds, uses = mine.where("command = 'find'"), mine.where("command = 'refs'")
+    defs = definitions_of(picked(ix.symbols, "symbol", finds.select("symbol"))).join(finds, "symbol")
+    found = picked(ix.references, "symbol", uses.select("symbol")).select("file_path", "symbol", "line", "column").distinct()
+    semantic = defs.unionByName(_match(found, "ast_reference", "ast_likely", 0.95).join(uses, "symbol"))
+    left = mine.where(~wrong).join(semantic.select("position").distinct(), "position", "left_anti").orderBy("position")
+    out = semantic
+    for block in _blocks(left):
+        literal = F.array(*[F.struct(F.lit(r.position).alias("position"), F.lit(r.id).alias("id"), F.lit(r.command).alias("command"), F.lit(r.symbol).alias("wanted")) for r in block])
+        hit = ix.names.select("symbol", F.explode(F.filter(literal, lambda r: F.ilike(F.col("symbol"), F.concat(F.lit("%"), r["wanted"], F.lit("%"))))).alias("r")).select("symbol", "r.*")
+        hit = workdir.stage(hit, "batch-names")
+        tokens = picked(ix.tokens, "symbol", hit.select("symbol")).join(hit, "symbol")
+        exact = F.col("symbol") == F.col("wanted")
+        out = out.unionByName(tokens.select(
+            "position", "id", "command", "file_path", "line", "column", "symbol", F.when(exact, "exact_symbol_name").otherwise("text_substring_match").alias("why_matched"), F.lit("text_fallback").alias("confidence"), F.when(exact, 0.8).otherwise(0.4).alias("score"),
+        ))
+    errors = asked.where(wrong).select("position", "id", "command", F.concat(F.lit("unsupported command '"), "command", F.lit("'")).alias("error"))
+    out = out.unionByName(errors, allowMissingColumns=True).withColumn("path_rank", paths.class_rank(F.col("file_path")))
+    return out.orderBy("position", F.desc("score"), *RANKED).drop("path_rank")
+
+
+def _blocks(requests: DataFrame):
+    """The rows of a stated query set, MOST_LITERALS at a time."""
+    rows = requests.toLocalIterator()
+    while block := list(itertools.islice(rows, MOST_LITERALS)):
+        yield block
 
 
 def definitions_of(symbols: DataFrame) -> DataFrame:
     return _match(symbols, "exact_symbol_name", "ast_exact", 1.0, "start_line", "start_column")
 
 
-def edge_counts(ix: Index, symbol: str) -> DataFrame:
-    """explain: inbound and outbound edges of each definition, by kind; unknown kinds are not counted."""
+def edge_counts(ix: Index, symbol: str, with_snippet: bool = False) -> DataFrame:
+    """explain: each definition with its inbound and outbound edges by kind (unknown kinds are not counted) and, if asked, its lines."""
     mine = ix.symbols.where(F.col("symbol") == symbol)
-    ids = F.broadcast(mine.select("symbol_id"))
+    ids = mine.select("symbol_id")
 
-    def side(end: str, names: dict[str, str]) -> DataFrame:
-        e = ix.edges.join(ids, F.col(end) == F.col("symbol_id"))
-        return e.groupBy("symbol_id").agg(*[F.count_if(F.col("edge_kind") == k).alias(v) for k, v in names.items()])
+    def side(edges: DataFrame, end: str, names: dict[str, str]) -> DataFrame:
+        e = picked(edges, end, ids)
+        return e.groupBy(F.col(end).alias("symbol_id")).agg(*[F.count_if(F.col("edge_kind") == k).alias(v) for k, v in names.items()])
 
-    inbound = side("to_symbol_id", {k: f"in_{v}" for k, v in scoring.INBOUND.items()})
-    outbound = side("from_symbol_id", {k: f"out_{k}" for k in scoring.INBOUND})
+    inbound = side(ix.edges, "to_symbol_id", {k: f"in_{v}" for k, v in scoring.INBOUND.items()})
+    outbound = side(ix.outgoing, "from_symbol_id", {k: f"out_{k}" for k in scoring.INBOUND})
     counts = [c for df in (inbound, outbound) for c in df.columns if c != "symbol_id"]
     out = mine.join(inbound, "symbol_id", "left").join(outbound, "symbol_id", "left")
-    return out.select("symbol", "kind", "file_path", "start_line", "end_line", "signature", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts])
+    more = []
+    if with_snippet:
+        out = out.join(picked(ix.files, "file_path", mine.select("file_path")).select("file_path", "text"), "file_path", "left")
+        more = [tx.snippet(F.col("text"), F.col("start_line"), F.col("end_line")).alias("snippet")]
+    out = out.select(
+        "symbol", qualified().alias("qualified_symbol"), "kind", "language", "file_path", "start_line", "start_column", "end_line", "end_column", "signature", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts],
+        F.lit("exact symbol definition match").alias("why_included"), F.lit("graph_exact").alias("confidence"), F.lit("ast_definition").alias("provenance"), F.lit(1.0).alias("score"), *more,
+    )
+    return out.orderBy("file_path", "start_line", "start_column", "qualified_symbol", "kind")
+
+
+def qualified() -> Column:
+    """A symbol's qualified name, made up where the index has none."""
+    return F.coalesce("qualified_symbol", F.concat("language", F.lit(":"), "file_path", F.lit("::"), "symbol"))
 
 
 def snippets(ix: Index, symbol: str, context: int = 0) -> DataFrame:
-    found = ix.symbols.where(F.col("symbol") == symbol).join(ix.files.select("file_path", "text"), "file_path")
+    named = ix.symbols.where(F.col("symbol") == symbol)
+    found = named.join(picked(ix.files, "file_path", named.select("file_path")).select("file_path", "text"), "file_path")
     part = tx.snippet(F.col("text"), F.col("start_line"), F.col("end_line"), context)
-    return found.select("symbol", "kind", "file_path", "start_line", "end_line", part.alias("snippet"), "signature").where("snippet is not null")
+    return found.select("symbol", "kind", "file_path", "start_line", "end_line", part.alias("snippet"), "signature").where("snippet is not null").orderBy("file_path", "start_line", "kind", "end_line")
 
 
 def outline(ix: Index, file: str) -> DataFrame:
     public = F.coalesce(F.col("signature").startswith("pub"), F.lit(False))
-    return ix.symbols.where(F.col("file_path") == file).select("symbol", "kind", F.col("start_line").alias("line"), "signature", F.when(public, "public").otherwise("private").alias("visibility"))
+    out = ix.by_file.where(F.col("file_path") == file).select("symbol", "kind", F.col("start_line").alias("line"), "signature", F.when(public, "public").otherwise("private").alias("visibility"))
+    return out.orderBy("line", "symbol", "kind")
 
 
 def status(ix: Index) -> DataFrame:
@@ -152,11 +219,19 @@ def status(ix: Index) -> DataFrame:
 
 
 def languages(ix: Index) -> DataFrame:
-    return ix.symbols.groupBy("language").agg(F.count_distinct("file_path").alias("files"))
+    return ix.symbols.groupBy("language").agg(F.count_distinct("file_path").alias("files")).orderBy("language")
 
 
 def entry_points(ix: Index, name: str = "main") -> DataFrame:
-    return ix.symbols.where((F.col("symbol") == name) & (F.col("kind") == "function")).select("file_path").distinct()
+    return ix.symbols.where((F.col("symbol") == name) & (F.col("kind") == "function")).select("file_path").distinct().orderBy("file_path")
+
+
+def summary(ix: Index, entry: str = "main") -> DataFrame:
+    """status, languages and entry points as one table: section, name, value."""
+    counts = status(ix).select(F.lit("status").alias("section"), F.col("table").alias("name"), F.col("rows").alias("value"))
+    spoken = languages(ix).select(F.lit("language").alias("section"), F.col("language").alias("name"), F.col("files").alias("value"))
+    entries = entry_points(ix, entry).select(F.lit("entry_point").alias("section"), F.col("file_path").alias("name"), F.lit(1).cast("long").alias("value"))
+    return counts.unionByName(spoken).unionByName(entries).orderBy("section", "name")
 
 
 def envelope(result: DataFrame, command: str, version: int = 2) -> DataFrame:
@@ -170,15 +245,13 @@ def compact(matches: DataFrame) -> DataFrame:
     return matches.select(F.format_string("%s:%d %s", "file_path", "line", "symbol").alias("text"))
 
 
-#: Commands and the version of their documents.
-COMMANDS = {c: 2 for c in (
-    "index status schema find refs resolve query refactor-plan impact context tests-for verify-plan snippet outline summary callers callees deps hotspots call-path related health circular tree orient anatomy coupling dead test-gaps "
-    "suggest boundary extract-check move-check rename-check split-check test-scaffold safe-steps verify-refactor"
-).split()} | {"find": 1, "refs": 1, "diff-impact": 3, "explain": 3}
+#: Documents that the registry lists, in its order.
+REGISTERED = ("status", "find", "refs", "resolve", "query", "refactor-plan", "error")
 
 
 def schema_registry(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(c, f"{c}@v{v}") for c, v in sorted(COMMANDS.items())], "command string, schema string")
+    """The registered documents; their ids are under this engine's own name."""
+    return spark.createDataFrame([(i, c, f"trellis/{c}@v1") for i, c in enumerate(REGISTERED, 1)], "position int, command string, schema string").orderBy("position")
 
 
 def first_by(df: DataFrame, key: list[str], order: list[Column | str]) -> DataFrame:

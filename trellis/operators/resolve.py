@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import workdir
+
 
 def resolve(wanted: DataFrame, symbols: DataFrame) -> DataFrame:
     """Edges of candidates (from_symbol_id, file_path, symbol, language, edge_kind, confidence, provenance[, qualified_symbol]).
@@ -12,7 +14,7 @@ def resolve(wanted: DataFrame, symbols: DataFrame) -> DataFrame:
     Tiers: the qualified name (then nothing else), the same file, the only
     symbol of that name in the language (imports count against it). The first
     match by non-import, file, line, column wins. Import and implements edges
-    to an import are dropped; of equal edges the last kept has the greatest confidence.
+    to an import are dropped; of equal edges the last stays (by turn, where the candidates have one).
     """
     best = lambda *key: F.row_number().over(Window.partitionBy(*key).orderBy((F.col("kind") == "import").cast("int"), "file_path", "start_line", "start_column", "symbol_id"))
     in_file = symbols.withColumn("n", best("file_path", "symbol")).where("n = 1").select("file_path", "symbol", F.col("symbol_id").alias("file_id"), F.col("kind").alias("file_kind"))
@@ -25,7 +27,7 @@ def resolve(wanted: DataFrame, symbols: DataFrame) -> DataFrame:
         named = F.col("qualified_symbol").isNotNull()
         target = F.when(named, F.coalesce("exact_id", "file_id")).otherwise(target)
         kind = F.when(named, F.coalesce("exact_kind", "file_kind")).otherwise(kind)
-    found = found.select("from_symbol_id", target.alias("to_symbol_id"), kind.alias("to_kind"), "edge_kind", "confidence", "provenance")
+    found = found.select("from_symbol_id", target.alias("to_symbol_id"), kind.alias("to_kind"), "edge_kind", "confidence", "provenance", *(["turn"] if "turn" in wanted.columns else []))
     found = import_guard(found.where("to_symbol_id is not null and from_symbol_id <> to_symbol_id"))
     return upsert_edges(found.drop("to_kind"))
 
@@ -36,8 +38,9 @@ def import_guard(edges: DataFrame) -> DataFrame:
 
 
 def upsert_edges(edges: DataFrame) -> DataFrame:
-    """One edge for each (from, to, kind)."""
-    return edges.groupBy("from_symbol_id", "to_symbol_id", "edge_kind").agg(F.max(F.struct("confidence", "provenance")).alias("m")).select("from_symbol_id", "to_symbol_id", "edge_kind", "m.confidence", "m.provenance")
+    """One edge for each (from, to, kind): the last written one, by turn; without turns, or of one turn, the one of greatest confidence."""
+    last = F.struct(F.col("turn") if "turn" in edges.columns else F.lit(0).alias("turn"), "confidence", "provenance")
+    return edges.groupBy("from_symbol_id", "to_symbol_id", "edge_kind").agg(F.max(last).alias("m")).select("from_symbol_id", "to_symbol_id", "edge_kind", "m.confidence", "m.provenance")
 
 
 def changes(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -77,7 +80,7 @@ def stable_ids(old: DataFrame, new: DataFrame) -> DataFrame:
     fresh = joined.where("symbol_id is null").drop("symbol_id")
     parts = fresh.repartitionByRange(int(new.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file_path", "start_line", "start_column", "symbol").withColumn("part", F.spark_partition_id())
     order = ["file_path", "start_line", "start_column", "symbol", "kind"]
-    parts = parts.checkpoint() if new.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else parts.cache()
+    parts = workdir.stage(parts, "numbers")  # a part that is computed again must not get other numbers
     before = parts.groupBy("part").count().select("part", (F.sum("count").over(Window.orderBy("part")) - F.col("count")).alias("before"))
     top = old.agg(F.coalesce(F.max("symbol_id"), F.lit(0))).first()[0]
     numbered = parts.withColumn("i", F.row_number().over(Window.partitionBy("part").orderBy(*order))).join(F.broadcast(before), "part")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths, scoring
 from ..functions import text as tx
-from ..schemas import Index
+from ..schemas import Index, picked
 from .graph import changed_symbols
 from .lookup import first_by
 
@@ -48,14 +48,14 @@ def test_command(p: Column, runners: Runners) -> Column:
 
 def hits(ix: Index, names: DataFrame) -> DataFrame:
     """Mentions of names (symbol) in test files: symbol, file_path, hits."""
-    return ix.tokens.where(paths.is_test(F.col("file_path"))).join(F.broadcast(names.select("symbol").distinct()), "symbol").groupBy("symbol", "file_path").agg(F.count("*").alias("hits"))
+    return picked(ix.tokens, "symbol", names.select("symbol")).where(paths.is_test(F.col("file_path"))).groupBy("symbol", "file_path").agg(F.count("*").alias("hits"))
 
 
 def tests_for(ix: Index, symbol: str, include_support: bool = False, runners: Runners = Runners()) -> DataFrame:
-    """Test files that mention a name or, less, a part of it."""
+    """Test files that mention a name or, less, a part of it: runnable ones first, then by hits."""
     parts = [w for w in symbol.split("_") if len(w) >= 3]
     names = ix.symbols.sparkSession.createDataFrame([(symbol, 0)] + [(w, i + 1) for i, w in enumerate(dict.fromkeys(parts)) if w != symbol], "symbol string, turn int")
-    found = hits(ix, names).join(F.broadcast(names), "symbol")
+    found = hits(ix, names).join(names, "symbol")
     found = first_by(found, ["file_path"], ["turn"])
     n = F.when(F.col("turn") == 0, F.col("hits")).otherwise(F.greatest(F.col("hits") - 1, F.lit(1)))
     runnable = test_command(F.col("file_path"), runners).isNotNull()
@@ -63,7 +63,10 @@ def tests_for(ix: Index, symbol: str, include_support: bool = False, runners: Ru
     if not include_support:
         rows = rows.where("runnable")
     label = F.when(F.col("runnable") & (F.col("hits") > 1), "graph_likely").otherwise("context_medium")
-    return rows.select("target", "hits", "runnable", label.alias("confidence"), scoring.tests_for_score(F.col("runnable"), F.col("hits")).alias("score"))
+    kind = F.when(F.col("runnable"), "integration_test_file").otherwise("support_test_file")
+    why = F.concat(F.lit(f"direct symbol match for '{symbol}' in "), F.when(F.col("runnable"), "test file").otherwise("support path"))
+    out = rows.select("target", kind.alias("target_kind"), why.alias("why_included"), label.alias("confidence"), scoring.tests_for_score(F.col("runnable"), F.col("hits")).alias("score"), "hits", "runnable")
+    return out.orderBy(F.desc("runnable"), F.desc("hits"), "target")
 
 
 def verify_plan(ix: Index, files: list[str], lines: DataFrame | None = None, names: list[str] = (), max_targeted: int = 8, runners: Runners = Runners()) -> DataFrame:
@@ -90,4 +93,4 @@ def verify_plan(ix: Index, files: list[str], lines: DataFrame | None = None, nam
         suite = suite.when(has("npx ") | ends(".ts", ".tsx"), "npx jest" if runners.node == "jest" else "npx vitest run")
     suite = suite.when(has("go test ") | ends(".go"), "go test ./...").otherwise("cargo test")
     full = targeted.agg(suite.alias("step")).select("step", F.lit("full_suite").alias("scope"), F.lit("required safety gate after refactor").alias("why_included"), F.lit("context_high").alias("confidence"), F.lit(1.0).alias("score"))
-    return targeted.select("step", F.lit("targeted").alias("scope"), "why_included", "confidence", "score").unionByName(full)
+    return targeted.select("step", F.lit("targeted").alias("scope"), "why_included", "confidence", "score").unionByName(full).orderBy((F.col("scope") == "full_suite").cast("int"), "step", "why_included")

@@ -1,7 +1,8 @@
 """Canonical tables from the driver's tables.
 
 star: the star schema as a property graph. corpus: documents as source files.
-Ids are formulas of the keys, so no ordering of all rows is ever needed.
+Both are stored snapshots that are built on first use. Ids are formulas of the
+keys, so no ordering of all rows is ever needed.
 """
 
 from __future__ import annotations
@@ -9,9 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import workdir
 from ..functions import text as tx
 from ..schemas import Index
+from . import snapshot
 
+CORPUS_TABLES = ("documents",)
+STAR_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 OFFSETS = {"region": 1, "nation": 1_000, "supplier": 1_000_000_000, "part": 2_000_000_000, "customer": 4_000_000_000, "order": 8_000_000_000}
 
 
@@ -82,12 +87,54 @@ def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(d.alias("doc_id"), path.alias("file_path"), language.alias("language"), F.sha2("text", 256).alias("content_hash"), F.size(tx.lines(F.col("text"))).alias("line_count"), "text")
 
 
+#: Path ending, start, call and end of a function of three lines, by nation modulo 4.
+SPELT = ((".rs", "pub fn {0}() {", "    {0}();", "}"), (".py", "def {0}():", "    {0}()", ""), (".ts", "export function {0}() {", "    {0}();", "}"), (".go", "func {0}() {", "\t{0}()", "}"))
+
+
+def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source files that spell out the supplier table: one file a nation, in one of four languages.
+
+    Each supplier is a function that calls the nation's next one; the last
+    calls the first supplier of the fourth nation after, in the same language.
+    """
+    s = _table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("int").alias("n"), F.col("s_suppkey").cast("long").alias("k"))
+    first = s.groupBy((F.col("n") - 4).alias("n")).agg(F.min("k").alias("first"))
+    s = s.join(first, "n", "left").withColumn("next", F.coalesce(F.lead("k").over(Window.partitionBy("n").orderBy("k")), "first"))
+    name = lambda k: F.concat(F.lit("supplier_"), F.col(k).cast("string"))
+
+    def spelt(i: int) -> Column:
+        chosen = None
+        for j, parts in enumerate(SPELT):
+            before, _, after = parts[i].partition("{0}")
+            text = F.concat(F.lit(before), name("k" if i == 1 else "next"), F.lit(after)) if "{0}" in parts[i] else F.lit(parts[i])
+            if i == 2:  # a function that calls nothing does nothing
+                text = F.coalesce(text, F.lit("    pass" if j == 1 else ""))
+            chosen = F.when(F.col("n") % 4 == j, text) if chosen is None else chosen.when(F.col("n") % 4 == j, text)
+        return chosen
+
+    function = F.concat_ws("\n", spelt(1), spelt(2), spelt(3), F.lit(""))
+    ending = F.element_at(F.array(*[F.lit(p[0]) for p in SPELT]), F.col("n") % 4 + 1)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", function.alias("f")))), lambda x: x["f"]), "")
+    files = s.groupBy("n").agg(text.alias("text"))
+    return files.select(F.concat(F.lit("code/n"), F.col("n").cast("string"), ending).alias("file_path"), F.sha2("text", 256).alias("content_hash"), F.size(tx.lines(F.col("text"))).alias("line_count"), "text")
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> Index:
+    """The stored snapshot of the documents as files."""
+    return snapshot.opened(spark, sf_dir, "corpus", CORPUS_TABLES, corpus_index)
+
+
+def star(spark: SparkSession, sf_dir: str) -> Index:
+    """The stored snapshot of the star schema as a property graph."""
+    return snapshot.opened(spark, sf_dir, "star", STAR_TABLES, star_index)
+
+
+def corpus_index(spark: SparkSession, sf_dir: str) -> Index:
     """Documents as files: a line's first identifier defines a symbol, its other identifiers that are symbols anywhere are references."""
     files = corpus_files(spark, sf_dir)
-    tokens = tx.tokens(files.select("doc_id", "file_path", "language", "line_count", "text"))
+    # tokens and their places in the lines are made once: symbols, references and edges are read from them
     nth = F.row_number().over(Window.partitionBy("file_path", "line").orderBy("column"))
-    in_line = tokens.withColumn("nth", nth)
+    in_line = workdir.stage(tx.tokens(files.select("doc_id", "file_path", "language", "line_count", "text")).withColumn("nth", nth), "tokens")
     first = in_line.where("nth = 1")
     kinds = F.element_at(F.array(*map(F.lit, ("function", "struct", "enum", "trait", "import"))), (F.col("line") % 5 + 1).cast("int"))
     end = F.coalesce(F.lead("line").over(Window.partitionBy("file_path").orderBy("line")) - 1, F.col("line_count"))
@@ -97,6 +144,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> Index:
         F.lit(None).cast("string").alias("container"), "start_line", "start_column", "end_line", F.lit(1).alias("end_column"),
         F.concat(F.when(F.col("start_line") % 2 == 0, F.lit("pub ")).otherwise(F.lit("")), "symbol").alias("signature"), (F.col("end_line") - F.col("start_line") + 1).cast("int").alias("line_count"),
     )
+    symbols = workdir.stage(symbols, "symbols")
     names = symbols.select("symbol").distinct()
     references = in_line.where("nth > 1").join(names, "symbol", "left_semi").select("file_path", "symbol", "line", "column", "language")
     from ..operators.resolve import resolve
@@ -109,10 +157,10 @@ def corpus(spark: SparkSession, sf_dir: str) -> Index:
     )
     edges = resolve(wanted.distinct(), symbols)
     plain = ["file_path", "symbol", "line", "column"]
-    return Index(files, tokens.select(*plain), symbols, references.select(*plain), edges)
+    return Index(files, in_line.select(*plain), symbols, references.select(*plain), edges)
 
 
-def star(spark: SparkSession, sf_dir: str) -> Index:
+def star_index(spark: SparkSession, sf_dir: str) -> Index:
     symbols = star_symbols(spark, sf_dir)
     files = symbols.groupBy("file_path").agg(F.max("end_line").cast("int").alias("line_count"))
     tokens = symbols.select("file_path", "symbol", F.col("start_line").alias("line"), F.col("start_column").alias("column"))

@@ -238,5 +238,15 @@ def go(path: str, source: str) -> Unit:
             unit.symbols.add(Symbol(line, column, local, "import", None, line, column + len(m[0]), None))
             where_of[local] = files
             unit.edges.add((local, stem, "imports", files))
-    calls(s, bodies, lambda p: where_of.get(p.split(".")[0], (path,) if "." not in p else ()), unit, {})
+    for m in re.finditer(r"^(?P<word>const|var)[ \t]*(?P<open>\()?", s.code, re.M):
+        end = s.code.find("\n)", m.end()) if m["open"] else s.code.find("\n", m.end())
+        for spec in re.finditer(r"^[ \t]*(?P<names>[A-Za-z_]\w*(?:[ \t]*,[ \t]*[A-Za-z_]\w*)*)[^\n]*", s.code[m.end() : end if end > 0 else len(s.code)], re.M):
+            for name in re.finditer(r"[A-Za-z_]\w*", spec["names"]):
+                at = m.end() + spec.start("names") + name.start()
+                line, column = s.at(at)
+                if name[0] != "_" and not any(x.symbol == name[0] and x.start_line == line for x in unit.symbols):
+                    last = s.at(m.end() + spec.end())
+                    unit.symbols.add(Symbol(line, column, name[0], "const" if m["word"] == "const" else "variable", None, last[0], last[1], None))
+    # an imported package's files are tried first, then, as for plain names, this file and the language's only one
+    calls(s, bodies, lambda p: where_of.get(p.split(".")[0], ()), unit, {})
     return unit

@@ -5,23 +5,23 @@ from __future__ import annotations
 import fnmatch
 import os
 import subprocess
+import time
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import workdir
+from ..errors import PartialData, StaleIndex
 from ..functions import paths
 from ..functions import text as tx
 from ..operators import resolve as rs
 from ..schemas import Index
+from . import snapshot
 from .extract import EDGE, extract
 
 
-class StaleIndex(RuntimeError):
-    """The working tree is newer than the snapshot (exit code 3)."""
-
-
 def _ignored(name: str, folder: bool, rules: list[tuple[str, bool, bool]], relative: str) -> bool:
     hit = False
     for pattern, negative, only_folder in rules:
@@ -112,27 +112,60 @@ def edges_of(edges: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def save(ix: Index, path: str) -> None:
-    """Write a snapshot, sorted for lookups by name and by edge end."""
-    ix.files.write.mode("overwrite").parquet(f"{path}/files")
-    ix.tokens.sortWithinPartitions("symbol").write.mode("overwrite").parquet(f"{path}/tokens")
-    ix.symbols.sortWithinPartitions("symbol").write.mode("overwrite").parquet(f"{path}/symbols")
-    ix.references.sortWithinPartitions("symbol").write.mode("overwrite").parquet(f"{path}/references")
-    ix.edges.sortWithinPartitions("to_symbol_id").write.mode("overwrite").parquet(f"{path}/edges")
+    """Write a snapshot, sorted for lookups by name, by file and by edge end."""
+    snapshot.save(ix, path)
 
 
 def load(spark: SparkSession, path: str) -> Index:
-    return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("files", "tokens", "symbols", "references", "edges")))
+    return snapshot.load(spark, path)
+
+
+#: Files whose change makes a snapshot stale.
+SOURCE = r"\.(rs|py|go|tsx?|jsx?)$"
 
 
 def freshness(files: DataFrame, indexed_at: float, index_head: str | None, head: str | None, require: bool = False) -> str:
-    """fresh or stale: whether any code file is newer than the snapshot, or the commit differs."""
-    newest = files.where(paths.is_code(F.col("file_path"))).agg(F.max("mtime")).first()[0]
+    """fresh or stale: whether any source file is newer than the snapshot, or the commit differs."""
+    newest = files.where(F.col("file_path").rlike(SOURCE)).agg(F.max("mtime")).first()[0]
     state = "stale" if (newest or 0) > indexed_at or (index_head and head and index_head != head) else "fresh"
     if require and state == "stale":
-        raise StaleIndex("the index is older than the working tree")
+        raise StaleIndex("the index is older than the working tree", "index", {"suggested_fix": "index the working tree again"})
     return state
 
 
+META = "indexed_at double, head string, indexed_files long, unchanged_files long"
+
+
+def index(spark: SparkSession, root: str, path: str) -> DataFrame:
+    """Index a working tree into path, keeping symbol ids of the snapshot there; gives its summary (META).
+
+    The new snapshot is written beside the old one and takes its place when it is whole.
+    """
+    files = workdir.stage(scan(spark, root), "scan")
+    p, fs = workdir.file_system(spark, path)
+    old = load(spark, path) if fs.exists(p) else None
+    same = files.join(old.files.select("file_path", "content_hash"), ["file_path", "content_hash"], "left_semi").count() if old else 0
+    next_path = f"{path.rstrip('/')}.next"
+    save(build(files, old), next_path)
+    row = [(time.time(), head(root), files.count() - same, same)]
+    spark.createDataFrame(row, META).coalesce(1).write.mode("overwrite").json(f"{next_path}/meta")
+    fs.delete(p, True)
+    fs.rename(workdir.file_system(spark, next_path)[0], p)
+    return spark.read.schema(META).json(f"{path}/meta")
+
+
+def ensure(spark: SparkSession, root: str, path: str, auto_index: bool = False, require_fresh: bool = False) -> Index:
+    """The snapshot at path, made anew if it is missing, or stale and auto_index; raises if it is stale and must not be."""
+    p, fs = workdir.file_system(spark, path)
+    if not fs.exists(p):
+        index(spark, root, path)
+    elif auto_index or require_fresh:
+        meta = spark.read.schema(META).json(f"{path}/meta").first()
+        if freshness(scan(spark, root), meta.indexed_at, meta.head, head(root), require_fresh and not auto_index) == "stale":
+            index(spark, root, path)
+    return load(spark, path)
+
+
 def _git(root: str, *args: str) -> list[str]:
     return subprocess.run(["git", "-C", root, *args], capture_output=True, text=True, check=True).stdout.splitlines()
 
@@ -144,9 +177,21 @@ def head(root: str) -> str | None:
         return None
 
 
+def relative(root: str, named: str) -> str:
+    """A named file as the index knows it: relative to root, with forward slashes, without a leading ./"""
+    if os.path.isabs(named):
+        for base, whole in ((os.path.realpath(root), os.path.realpath(named)), (os.path.realpath(root), named), (root, named)):
+            if whole.startswith(base.rstrip("/") + "/"):
+                named = whole[len(base.rstrip("/")) + 1 :]
+                break
+    while named.startswith("./"):
+        named = named[2:]
+    return named.replace("\\", "/")
+
+
 def changed_files(root: str, since: str | None = None, unstaged: bool = False, named: list[str] = ()) -> list[str]:
     """Named files, those that differ from a commit, and unstaged ones; sorted, each once."""
-    found = {n.replace("\\", "/").removeprefix("./") for n in named}
+    found = {relative(root, n) for n in named}
     if since:
         found |= set(_git(root, "diff", "--name-only", since, "HEAD"))
     if unstaged:
@@ -154,8 +199,23 @@ def changed_files(root: str, since: str | None = None, unstaged: bool = False, n
     return sorted(found)
 
 
-def verify_refactor(spark: SparkSession, root: str, before: str, after: str) -> DataFrame:
-    """Files between two commits, with what was done to them and whether they are tests."""
-    rows = [line.split("\t") for line in _git(root, "diff", "--name-status", before, after)]
+def verify_refactor(spark: SparkSession, root: str, before: str, after: str | None = None, strict: bool = False) -> DataFrame:
+    """Files between two commits, with what was done to them and whether they are tests.
+
+    Without a later commit nothing is compared. strict: any changed file, and
+    anything that kept the comparison from being made, raises PartialData.
+    """
+    rows: list[list[str]] = []
+    warnings: list[str] = []
+    if after is None:
+        warnings.append("after reference not provided; comparing against working tree")
+    else:
+        try:
+            rows = [line.split("\t") for line in _git(root, "diff", "--name-status", before, after)]
+        except subprocess.CalledProcessError as e:
+            warnings.append(f"unable to compute git diff between '{before}' and '{after}': {e.stderr}")
+    if strict and (warnings or rows):
+        why = "; ".join(warnings) or f"{len(rows)} changed file(s) detected"
+        raise PartialData(f"verify-refactor strict mode failed: {why}", "verify-refactor", {"changed_files": [r[-1] for r in rows], "warnings": warnings})
     p = F.col("file_path")
-    return spark.createDataFrame([(r[-1], r[0][0]) for r in rows], "file_path string, status string").select(p, "status", paths.is_test(p).alias("is_test"), paths.is_code(p).alias("is_code"))
+    return spark.createDataFrame([(r[-1], r[0][0]) for r in rows], "file_path string, status string").select(p, "status", paths.is_test(p).alias("is_test"), paths.is_code(p).alias("is_code")).orderBy("file_path")
