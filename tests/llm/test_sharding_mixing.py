@@ -130,3 +130,24 @@ def test_apply_repeats_rows(spark):
     assert out.columns == docs.columns
     assert abs(sum(len(r.text.split()) for r in out.collect()) - 1.5 * 168) <= 4
     assert op7.apply(docs.limit(0)).count() == 0
+
+
+def test_apply_takes_columns_of_any_name_and_type(spark):
+    rows = [(i, f"a b c {i}", "s" if i % 2 else None, {"k": i}, 5, 6, 7, 8, [{"x": "y"}]) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, tags map<string,int>, __n int, __key int, row int, s int, deep array<map<string,string>>")
+    out = op7.apply(docs)
+    assert out.dtypes == docs.dtypes
+    got = out.collect()
+    want = {r[0]: r for r in rows}
+    assert all(tuple(r) == want[r.doc_id] for r in got) and abs(len(got) - 45) <= 2
+
+
+def test_alike_rows_share_what_they_take(spark):
+    """A third of all rows are one row: only some of them get one more copy."""
+    rows = [(1, "hot hot hot", "s")] * 200 + [(i, "a b c", "s") for i in range(2, 402)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    goal = op7.targets([("s", 1800)])["s"]
+    for taken in (sum(r.taken for r in op7.mix(docs).collect()), sum(len(r.text.split()) for r in op7.apply(docs).collect())):
+        assert abs(taken - goal) <= 3
+    only = spark.createDataFrame(rows[:200], "doc_id long, text string, source string").repartition(3)
+    assert op7.apply(only).count() == 300 and sorted(r.copies for r in op7.mix(only).collect()) == [1] * 100 + [2] * 100

@@ -2,74 +2,20 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import gc
 import math
-import tempfile
-import uuid
-import weakref
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..workdir import drop, forget, fresh_path, mark, release, shared_dir, stage  # noqa: F401
+
 #: Edges (16 bytes each) that one task may contract at once.
 ONE_TASK = 500_000
 
-_fallback: str | None = None
-_used: list[tuple[weakref.ref, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, else the context's checkpoint folder, else (tests) a folder of our own."""
-    global _fallback
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found and (own := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
-        found = own.get()
-    if not found:
-        _fallback = _fallback or tempfile.mkdtemp(prefix="trellis-")
-        found = f"file://{_fallback}"
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/trellis/{name}-{uuid.uuid4().hex[:12]}"
-    _used.append((weakref.ref(spark), path))
-    return path
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: later steps survive lost executors."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def forget(df: DataFrame) -> None:
-    """Remove a staged table that nothing will read again."""
-    for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/trellis/" in f:
-            drop(df.sparkSession, f)
-
-
-@atexit.register
-def _clean() -> None:
-    for ref, path in _used:
-        try:
-            if spark := ref():
-                drop(spark, path)
-        except Exception:  # the session is gone; the folder's owner cleans up
-            return
-
-
 #: Rows of whole texts that are handed to Python at once.
 BATCH_ROWS = 1000
 
