@@ -1,7 +1,9 @@
 import collections
 import itertools
+import math
 import random
 
+import numpy as np
 import pytest
 
 from trellis.llm import op1_quality_crf as op1
@@ -81,11 +83,84 @@ def test_language_odd_rows(spark):
     assert op2.identify(none.limit(0)).count() == 0
 
 
-def test_profile_blocks_agree(monkeypatch):
-    text = "Ünïcode text, with 12 words — and 漢字 😀 too! " * 7
-    whole = op2.profile(text)
-    monkeypatch.setattr(op2, "BLOCK", 13)
-    assert (op2.profile(text) == whole).all()
+def brute_profile(text):
+    """Counts of hashed n-grams, one at a time."""
+    squeezed = " " + " ".join("".join(c if c.isalpha() else " " for c in (text or "").lower()).split()) + " "
+    found = collections.Counter()
+    if squeezed.strip():
+        for n in op2.ORDERS:
+            for i in range(len(squeezed) - n + 1):
+                g = ord(squeezed[i]) + n
+                for c in squeezed[i + 1 : i + n]:
+                    g = (g * int(op2._P) + ord(c)) % 2**64
+                found[g * int(op2._MULT) % 2**64 >> 64 - op2.BITS] += 1
+    return found
+
+
+ODD = [None, "", "a", " 12 ", "Ünïcode text, with 12 words — and 漢字 😀 too! " * 7, "İ x", "the cat", "\n\nder  hund\n", "𐐀𐐁 x", "a" * 50, "x y " * 300]
+
+
+def test_profiles_equal_brute_force(monkeypatch):
+    for block in (op2.BLOCK, 13):
+        monkeypatch.setattr(op2, "BLOCK", block)
+        doc, bucket, n = op2.profiles(ODD)
+        assert (np.diff(doc) >= 0).all()
+        for i, t in enumerate(ODD):
+            assert dict(zip(bucket[doc == i].tolist(), n[doc == i].tolist())) == brute_profile(t), (block, t)
+
+
+def test_scores_equal_brute_force(monkeypatch):
+    """Naive Bayes by the definition, over several blocks of languages."""
+    rng = np.random.default_rng(3)
+    langs, docs = [f"l{i:02}" for i in range(11)], [int(x) for x in rng.integers(1, 90, 11)]
+    counts = np.zeros((11, op2.BUCKETS))
+    for i in range(11):
+        for b, k in brute_profile(" ".join(rng.choice(["der", "hund", "cat", "the", "chat", "漢字", "gato"], 40))).items():
+            counts[i, b] += k
+    counts[7] = counts[3]
+    docs[7] = docs[3]  # a tie: the first language wins
+    whole = op2.Model(langs, docs, counts)
+    monkeypatch.setattr(op2, "LANG_BLOCK", 4)
+    monkeypatch.setattr(op2, "GATHER", 50)
+    model = op2.Model(langs, docs, counts)
+    assert len(model.blocks) == 3 and len(whole.blocks) == 1
+    texts = [*ODD, "the cat the dog", "le chat"]
+    got, score = model.predict(texts)
+    assert got == whole.predict(texts)[0] and np.allclose(score, whole.predict(texts)[1])
+    for i, t in enumerate(texts):
+        p = brute_profile(t)
+        if not p:
+            assert (got[i], score[i]) == ("und", 0.0)
+            continue
+        logs = [math.log(docs[k] / sum(docs)) + sum(n * math.log((counts[k, b] + op2.ALPHA) / (counts[k].sum() + op2.ALPHA * op2.BUCKETS)) for b, n in p.items()) for k in range(11)]
+        top = max(logs)
+        assert abs(score[i] - 1 / sum(math.exp(x - top) for x in logs)) < 1e-3
+        assert logs[langs.index(got[i])] > top - 1e-2 and got[i] != "l07"
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, f"{chr(0x4E00 + i % 300)}{chr(0x4E00 + i % 300)} word", f"lang{i % 300:03}") for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = op2.fit(docs)
+    assert len(model.langs) == 300 and len(model.blocks) == 2
+    got = op2.identify(docs, model).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert sum(r.lang_pred == r.lang for r in got) >= 0.97 * len(got) and {r.lang_pred for r in got} >= {"lang000", "lang299"}
+    assert all(0 < r.score <= 1 for r in got)
+
+
+def test_too_many_languages_raise(spark, monkeypatch):
+    monkeypatch.setattr(op2, "MOST_LANGS", 2)
+    docs = spark.createDataFrame([(i, "abc", f"l{i}") for i in range(20)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="lang values"):
+        op2.fit(docs)
+
+
+def test_language_of_repeated_tied_and_long_rows(spark):
+    rows = [(i, "aa bb" if i % 2 else "aa bb", "x" if i % 4 < 2 else "b") for i in range(64)] + [(900, "cc " * 300_000, None), (901, "cc", "c"), (902, "cc", "c"), (903, "cc", "c"), (904, "cc", "c"), (905, "cc", "c")]
+    rows += [(900, "cc " * 300_000, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = collections.Counter((r.doc_id, r.lang_pred) for r in op2.identify(docs).where("doc_id >= 900").collect())
+    assert got[900, "c"] == 2 and len(got) == 6
 
 
 @pytest.fixture(scope="module")
