@@ -49,6 +49,44 @@ def test_viterbi_equals_all_paths():
     assert chain.decode([]) == []
 
 
+def test_likelihood_equals_all_paths():
+    """Log likelihood by listing every state sequence; its gradient by differences."""
+    rng = np.random.default_rng(5)
+    features = [rng.normal(size=(n, 3)) for n in (1, 4, 2, 6, 4)]
+    states = [rng.integers(0, 2, len(f)) for f in features]
+    weight = rng.uniform(0.5, 2, 5)
+    sequences = op1.Sequences(features, states, weight)
+    p = rng.normal(size=9)
+
+    def brute(p):
+        start, step, out = p[3:5], p[5:].reshape(2, 2), 0.0
+        for f, y, w in zip(features, states, weight):
+            total = lambda path: start[path[0]] + sum(step[a, b] for a, b in zip(path, path[1:])) + sum(f[i] @ p[:3] for i, s in enumerate(path) if s)  # noqa: B023, E731
+            out += w * (total(tuple(y)) - np.log(sum(np.exp(total(path)) for path in itertools.product((0, 1), repeat=len(f)))))
+        return out
+
+    value, grad = sequences.likelihood(p)
+    assert value == pytest.approx(brute(p))
+    for i in range(9):
+        step = np.eye(9)[i] * 1e-5
+        assert grad[i] == pytest.approx((brute(p + step) - brute(p - step)) / 2e-5, abs=1e-5)
+
+
+def test_training_reaches_the_maximum():
+    rng = np.random.default_rng(6)
+    states = [np.array(([0] * 9 + [1] * 9) * 3) if i % 2 else np.zeros(27, int) for i in range(40)]
+    features = [np.column_stack([np.ones(len(y)), y + rng.normal(size=len(y)) * 1.5]) for y in states]
+    weight = np.ones(40)
+    chain = op1.fit_chain(features, states, weight, np.zeros(2))
+    p = np.array([*chain.weights, *chain.start, *np.ravel(chain.step)])
+    _, g = op1.Sequences(features, states, weight).likelihood(p)
+    assert np.abs(g - p / op1.VARIANCE).max() < 0.5  # no direction leads higher
+    assert chain.step[0][0] > chain.step[0][1] and chain.step[1][1] > chain.step[1][0]  # states last
+    right = sum(int((np.array(chain.decode((f @ chain.weights).tolist())) == y).sum()) for f, y in zip(features, states))
+    alone = sum(int(((f @ op1._logistic(np.concatenate(features), np.concatenate(states).astype(float), np.ones(sum(map(len, states)))) > 0) == y).sum()) for f, y in zip(features, states))
+    assert right > alone
+
+
 def test_quality_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")

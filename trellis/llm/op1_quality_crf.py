@@ -6,13 +6,15 @@ Viterbi decoding gives the best state sequence; content share is the share of
 word characters that stand in content lines, and a document is kept if that
 share reaches a threshold and the base rules hold.
 
-Training is piecewise: node weights by logistic regression, chain weights from
-the smoothed counts of state pairs. The labels are of documents: lines of good
-ones count as content, lines of bad ones as boilerplate, then two rounds call
-those lines of bad documents content that the model itself does. The sample
+Training maximises the conditional likelihood of whole line sequences, by
+forward and backward sums and quasi-Newton steps. The labels are of documents:
+lines of good ones count as content, lines of bad ones as boilerplate, then two
+rounds of logistic regression on single lines call those lines of bad documents
+content that look like it; the chain is fitted to what then stands. The sample
 has at most about SAMPLE documents of each class, chosen by a hash of doc_id,
-and at most SAMPLE_LINES evenly spaced lines of each. Without both classes the
-DEFAULT weights hold. All else covers all rows and whole texts.
+and of each at most SAMPLE_LINES lines that follow one another, from a place
+that a hash of the text gives. Without both classes the DEFAULT weights hold.
+All else covers all rows and whole texts.
 
 Null or empty text has no words, so the base rules reject it. Repeated rows
 each give a row; other columns are ignored; empty tables give no rows.
@@ -20,6 +22,7 @@ each give a row; other columns are ignored; empty tables give no rows.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -173,8 +176,110 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 12
     return w
 
 
+class Sequences:
+    """Line sequences side by side, the longest first, for sums over all state sequences at once."""
+
+    def __init__(self, features: list[np.ndarray], states: list[np.ndarray], weight: np.ndarray):
+        order = np.argsort([-len(f) for f in features], kind="stable")
+        self.x, self.y = [features[i] for i in order], [states[i] for i in order]
+        self.weight = weight[order]
+        n = np.array([len(f) for f in self.x])
+        self.active = [int((n > t).sum()) for t in range(n.max())]
+        # line t of every sequence that has one
+        self.flat = [np.array([self.x[i][t] for i in range(m)]) for t, m in enumerate(self.active)]
+        self.at = [np.array([self.y[i][t] for i in range(m)]) for t, m in enumerate(self.active)]
+
+    def likelihood(self, p: np.ndarray) -> tuple[float, np.ndarray]:
+        """Weighted log likelihood of the states and its gradient. p: node weights, start (2), step (4)."""
+        k = len(p) - 6
+        start, step = p[k : k + 2], p[k + 2 :].reshape(2, 2)
+        odds = [f @ p[:k] for f in self.flat]
+        m = np.exp(step - step.max())
+        # forward, each line's vector scaled to sum 1
+        alpha, scale = [], []
+        for t, n in enumerate(self.active):
+            a = np.exp(start - start.max())[None, :].repeat(n, 0) if t == 0 else alpha[-1][:n] @ m
+            top = np.maximum(odds[t], 0)
+            a = a * np.exp(np.column_stack([-top, odds[t] - top]))
+            z = a.sum(axis=1)
+            alpha.append(a / z[:, None])
+            scale.append(np.log(z) + top + (start.max() if t == 0 else step.max()))
+        total = 0.0
+        grad = np.zeros(len(p))
+        beta = None
+        for t in range(len(self.active) - 1, -1, -1):
+            n, w, y = self.active[t], self.weight[: self.active[t]], self.at[t]
+            rest = np.ones((n, 2))
+            if beta is not None:  # what follows line t, of the sequences that go on
+                on = len(beta)
+                top = np.maximum(odds[t + 1], 0)
+                ahead = beta * np.exp(np.column_stack([-top, odds[t + 1] - top]))
+                both = alpha[t][:on, :, None] * m[None] * ahead[:, None, :]
+                both /= both.sum(axis=(1, 2), keepdims=True)
+                seen = np.zeros((on, 2, 2))
+                seen[np.arange(on), y[:on], self.at[t + 1]] = 1
+                grad[k + 2 :] += (self.weight[:on, None, None] * (seen - both)).sum(axis=0).ravel()
+                total += float(self.weight[:on] @ step[y[:on], self.at[t + 1]])
+                back = ahead @ m.T
+                rest[:on] = back / back.sum(axis=1, keepdims=True)
+            node = alpha[t] * rest
+            node /= node.sum(axis=1, keepdims=True)
+            grad[:k] += (w * (y - node[:, 1])) @ self.flat[t]
+            total += float(w @ (y * odds[t])) - float(w @ scale[t])
+            if t == 0:
+                grad[k : k + 2] += [float(w @ ((y == s) - node[:, s])) for s in (0, 1)]
+                total += float(w @ start[y])
+            beta = rest
+        return total, grad
+
+
+def maximise(f, p: np.ndarray, rounds: int = 60) -> np.ndarray:
+    """BFGS with step halving: the maximum of a concave f, which gives value and gradient."""
+    inverse = np.eye(len(p))
+    value, g = f(p)
+    for k in range(rounds):
+        direction = inverse @ g
+        if k == 0:
+            direction = g / max(1.0, float(np.abs(g).max()))
+        rate, slope = 1.0, float(g @ direction)
+        while rate > 1e-8:
+            new, ng = f(p + rate * direction)
+            if new >= value + 1e-4 * rate * slope:
+                break
+            rate /= 2
+        else:
+            break
+        s, y = rate * direction, g - ng
+        gain = new - value
+        p, value, g = p + s, new, ng
+        if (sy := float(s @ y)) > 1e-12:
+            if k == 0:
+                inverse *= sy / float(y @ y)
+            left = np.eye(len(p)) - np.outer(s, y) / sy
+            inverse = left @ inverse @ left.T + np.outer(s, s) / sy
+        if gain < 1e-6 * max(1.0, abs(value)):
+            break
+    return p
+
+
+#: Prior variance of the weights, whose mean is 0.
+VARIANCE = 10.0
+
+
+def fit_chain(features: list[np.ndarray], states: list[np.ndarray], weight: np.ndarray, first: np.ndarray) -> Chain:
+    """The chain of highest likelihood (with a Gaussian prior), from node weights to begin with."""
+    sequences, k = Sequences(features, states, weight), features[0].shape[1]
+
+    def target(p):
+        value, g = sequences.likelihood(p)
+        return value - float(p @ p) / (2 * VARIANCE), g - p / VARIANCE
+
+    p = maximise(target, np.concatenate([first, np.zeros(6)]))
+    return Chain(p[:k].tolist(), p[k : k + 2].tolist(), p[k + 2 :].reshape(2, 2).tolist())
+
+
 def train(docs: list[tuple[int, np.ndarray]]) -> Chain:
-    """docs: (1 if good else 0, line features) of each labelled document."""
+    """docs: (1 if good else 0, features of neighbouring lines) of each labelled document."""
     docs = [(q, f) for q, f in docs if len(f)]
     if len({q for q, _ in docs}) < 2:
         return Chain()
@@ -187,14 +292,11 @@ def train(docs: list[tuple[int, np.ndarray]]) -> Chain:
         y = (bad & (x @ w > 0)).astype(float)
         if not 0 < y.mean() < 1:
             return Chain()
-    pairs, first, a = np.ones((2, 2)), np.ones(2), 0
-    for _, f in docs:
-        s = y[a : a + len(f)].astype(int)
-        first[s[0]] += 1
-        np.add.at(pairs, (s[:-1], s[1:]), 1)
-        a += len(f)
-    step = np.log(pairs / pairs.sum(axis=1, keepdims=True))
-    return Chain(w.tolist(), np.log(first / first.sum()).tolist(), step.tolist())
+    cut = np.cumsum([0, *(len(f) for _, f in docs)])
+    states = [y[a:b].astype(int) for a, b in zip(cut[:-1], cut[1:])]
+    good = sum(q for q, _ in docs)
+    weight = np.array([len(docs) / 2 / (good if q else len(docs) - good) for q, _ in docs])
+    return fit_chain([f for _, f in docs], states, weight, w)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
@@ -209,7 +311,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
         for b in batches:
             for q, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 f = scan([t]).features
-                f = f[:: max(1, -(-len(f) // SAMPLE_LINES))]
+                a = zlib.crc32(t.encode("utf-8", "surrogatepass")) % (max(0, len(f) - SAMPLE_LINES) + 1) if t else 0
+                f = f[a : a + SAMPLE_LINES]  # neighbours, as the chain needs them
                 yield pa.RecordBatch.from_arrays([pa.array([q], pa.int32()), pa.array([f.astype("<f4").tobytes()], pa.binary())], ["q", "f"])
 
     rows = texts.mapInArrow(measure, "q int, f binary").collect()
