@@ -246,3 +246,93 @@ def test_license_empty_and_trained_query(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     want = {r.doc_id for r in docs.where("text rlike '(Licensed under|Released under the|licensed under the GNU|All rights reserved)'").collect()}
     assert {r.doc_id for r in op9.scan(docs).where("confirmed").collect()} == want
+
+
+def brute_scan(text, model):
+    """The reported paragraphs of one text by the definition: word tuples, one paragraph at a time."""
+    clean = lambda line: "".join(c if c.isascii() and c.isalnum() or ord(c) > 127 else " " for c in line).lower().split()
+    pairs = lambda w: set(zip(w, w[1:])) or {tuple(w)}
+    templates = [(f, pairs(clean(t))) for f in model.families[1:] for t in op9.TEMPLATES[f]]
+    lines = [(k, w) for k, line in enumerate((text or "").split("\n")) if (w := clean(line))]
+    known = set().union(*(t for _, t in templates))
+    chained = lambda i, j: all(lines[k + 1][0] == lines[k][0] + 1 for k in range(i, j))
+    joined = lambda i, j: [w for _, own in lines[i : j + 1] for w in own]
+
+    def touched(k):
+        around = [lines[k][1]]
+        around += [[lines[k - 1][1][-1], lines[k][1][0]]] if k and chained(k - 1, k) else []
+        around += [[lines[k][1][-1], lines[k + 1][1][0]]] if k + 1 < len(lines) and chained(k, k + 1) else []
+        return any(set(zip(w, w[1:])) & known for w in around)
+
+    spans = []
+    for i in range(len(lines)):
+        for j in range(i, len(lines)):
+            if not chained(i, j):
+                break
+            w = joined(i, j)
+            alone = (i == 0 or not chained(i - 1, i)) and (j + 1 == len(lines) or not chained(j, j + 1))
+            near = any(len(t & pairs(w)) >= op9.NEAR * len(t) for _, t in templates)
+            if i == j or (len(w) <= op9.MOST_WORDS and (alone or (near and touched(i) and touched(j)))):
+                spans.append((i, j, w))
+    rows = []
+    for i, j, w in spans:
+        z = (np.mean([model.weights[b] for b in op9.features(w)], axis=0) * op9.SCALE + model.bias) / model.heat
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        f = int(p.argmax())
+        if f and p[f] >= op9.LEAST_PROBABILITY:
+            alike = {g: max(len(t & pairs(w)) / len(t) for h, t in templates if h == g) for g in model.families[1:]}
+            mine = alike[model.families[f]]
+            rows.append((-mine, j - i, -p[f], i, model.families[f], mine >= op9.LEAST_SIMILAR and mine >= max(alike.values())))
+    taken, kept = set(), []
+    for s, more, q, i, family, confirmed in sorted(rows):
+        if taken.isdisjoint(range(i, i + more + 1)):
+            taken |= set(range(i, i + more + 1))
+            kept.append((lines[i][0], family, -q, -s, confirmed))
+    return sorted(kept)
+
+
+def test_license_scan_equals_brute_force(model):
+    rng = random.Random(12)
+    notices = [t for ts in op9.TEMPLATES.values() for t in ts]
+    prose = ["the house of the red", "runs under the blue of the house", "software of the house", "in the License of the town", ""]
+    texts = [None, "", "\n\n", "# \n//", "MIT", "é", "Released under the MIT License.", "Licensed under CC BY 4.0.\nLicensed under CC BY 4.0."]
+    for _ in range(40):
+        lines = []
+        for _ in range(rng.randrange(1, 5)):
+            if rng.random() < 0.6:
+                own, at = rng.choice(notices).split(), 0
+                own = [w for w in own if rng.random() > 0.05]
+                width = rng.choice([4, 8, 100])
+                lines += [rng.choice(["# ", " * ", "// ", ""]) + " ".join(own[k : k + width]) for k in range(at, len(own), width)]
+            lines += rng.choices(prose, k=rng.randrange(3))
+        texts.append("\n".join(lines))
+    got = op9.Batch(texts, model).paragraphs()
+    for i, t in enumerate(texts):
+        want, mine = brute_scan(t, model), [r[1:] for r in got if r[0] == i]
+        assert [(r[0], r[1], r[4]) for r in mine] == [(r[0], r[1], r[4]) for r in want], t
+        assert all(abs(x[2] - y[2]) < 1e-4 and x[3] == pytest.approx(y[3]) for x, y in zip(mine, want))
+
+
+def test_more_families_as_they_stand_in_files(spark, model):
+    """Customary notices, wrapped as projects wrap them, of wordings that are not the templates'."""
+    texts = {
+        "mit": "Copyright (c) 2019 Some Body\n\nPermission is hereby granted, free of charge, to any person obtaining\na copy of this software and associated documentation files (the\n\"Software\"), to deal in the Software without restriction, including\nwithout limitation the rights to use, copy, modify, merge, publish,\ndistribute, sublicense, and/or sell copies of the Software, and to\npermit persons to whom the Software is furnished to do so, subject to\nthe following conditions:\n",
+        "isc": "/*\n * Permission to use, copy, modify, and/or distribute this software for any\n * purpose with or without fee is hereby granted, provided that the above\n * copyright notice and this permission notice appear in all copies.\n */",
+        "lgpl": "# This library is free software; you can redistribute it and/or\n# modify it under the terms of the GNU Lesser General Public\n# License as published by the Free Software Foundation; either\n# version 3 of the License, or (at your option) any later version.",
+        "agpl": "// This program is free software: you can redistribute it and/or modify\n// it under the terms of the GNU Affero General Public License as\n// published by the Free Software Foundation, either version 3 of the\n// License, or (at your option) any later version.",
+        "gpl": ";; This file is free software; you can redistribute it and/or modify\n;; it under the terms of the GNU General Public License as published by\n;; the Free Software Foundation; either version 2, or (at your option)\n;; any later version.",
+        "unlicense": "This is free and unencumbered software released into the public\ndomain.",
+        "apache": "<!--\nLicensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\n-->",
+    }
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts.values())], "doc_id long, text string")
+    got = op9.scan(docs, model).where("confirmed").collect()
+    assert {(r.doc_id, r.family) for r in got} == set(enumerate(texts))
+
+
+def test_license_rows_that_repeat_tie_or_are_very_long(spark, model):
+    notice = "Released under the MIT License."
+    long = "\n".join(["the red house runs"] * 200_000 + [notice] + ["of the blue"] * 100_000) + " " + "word " * 400_000
+    rows = [(1, notice, "x"), (1, notice, "x"), (2, f"{notice}\n\n{notice}", "x"), (3, long, "x"), (None, notice, "x"), (4, None, None), (5, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, family string")
+    got = collections.Counter((r.doc_id, r.paragraph, r.family) for r in op9.scan(docs, model).where("confirmed").collect())
+    assert got == {(1, 0, "mit"): 2, (2, 0, "mit"): 1, (2, 2, "mit"): 1, (3, 200_000, "mit"): 1, (None, 0, "mit"): 1}

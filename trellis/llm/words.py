@@ -58,13 +58,15 @@ class Scan:
     offset[i]:offset[i + 1] - 1 its bytes.
     """
 
-    def __init__(self, texts: list[str | None], lower: bool = False):
+    def __init__(self, texts: list[str | None], lower: bool = False, table: np.ndarray | None = None):
+        """lower: A-Z as a-z. table: what stands for each byte, a space where it belongs to no word."""
         raw = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
         self.offset = np.zeros(len(raw) + 1, np.int64)
         np.cumsum([len(r) + 1 for r in raw], out=self.offset[1:])
         self.data = np.frombuffer(b" ".join([*raw, b""]) if raw else b"", np.uint8)
-        if lower:
-            self.data = _LOWER[self.data]
+        self.raw = self.data
+        if lower or table is not None:
+            self.data = (_LOWER if table is None else table)[self.data]
         space = _SPACE[self.data]
         edge = np.flatnonzero(space[1:] != space[:-1]) + 1 if len(space) else np.zeros(0, np.int64)
         if len(space) and not space[0]:
