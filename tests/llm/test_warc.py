@@ -38,6 +38,7 @@ def test_archives_round_trip(spark, split):
         r = got[i]
         assert (r.payload_bytes, r.payload_digest) == (len(h.encode()), base64.b32encode(hashlib.sha1(h.encode()).digest()).decode())
         assert (r.record_type, r.refers_to) == (("response", None) if first[h] == i else ("revisit", first[h]))
+        assert r.intact
 
 
 def test_files_are_plain_warc(spark, tmp_path):
@@ -79,6 +80,52 @@ def test_query_equals_sql(spark):
     sf = "/root/testdata/sf0.001"
     c = duckdb.connect()
     c.execute(f"create view pages as select * from '{sf}/pages.parquet'")
-    cols = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    cols = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact"]
     want = sorted(c.execute(f"select {', '.join(cols)} from ({queries.oracle_sql()['op6_warc_chain']})").fetchall())
     assert sorted(tuple(r) for r in queries.op6_warc_chain(spark, sf).select(*cols).collect()) == want
+
+
+def test_damage_is_seen(spark, tmp_path):
+    """A payload changed without a change of length: its record, and what refers to it, are not intact."""
+    rows = [(1, "u", "some page"), (2, "u", "some page"), (3, "u", "other"), (4, "u", EVIL + "more")]
+    op6.write(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), str(tmp_path / "w"))
+    file = next((tmp_path / "w").glob("part-*"))
+    file.write_bytes(file.read_bytes().replace(b"some page", b"sOme page").replace(b"\r\n\r\nmore", b"\r\n\r\nmOre"))
+    for crc in (tmp_path / "w").glob(".*.crc"):
+        crc.unlink()
+    got = {r.page_id: r for r in op6.read(spark, str(tmp_path / "w")).collect()}
+    want = base64.b32encode(hashlib.sha1(b"sOme page").digest()).decode()
+    assert {i: r.intact for i, r in got.items()} == {1: False, 2: False, 3: True, 4: False}
+    assert got[1].payload_digest == got[2].payload_digest == want and got[4].payload_bytes == len(EVIL) + 4
+
+
+def record(name, body, version="WARC/1.0", kind="response", more=""):
+    return f"{version}\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <{name}>\r\n{more}Content-Length: {len(body)}\r\n\r\n{body}\r\n\r\n"
+
+
+@pytest.mark.parametrize("split", ["64m", "300"])
+def test_archives_of_others(spark, tmp_path, split):
+    """Another version, no lengths in the HTTP heads, other types, revisits of what is not there."""
+    http = "Content-Type: application/http; msgtype=response\r\n"
+    text = "".join([
+        record("a", "software: x\r\n", kind="warcinfo", more="Content-Type: application/warc-fields\r\n"), record("b", "HTTP/1.1 200 OK\r\nX: y\r\n\r\nhello", more=http),
+        record("c", "HTTP/1.1 200 OK\r\n\r\n" + record("no", "zz") * 9, more=http), record("d", "HTTP/1.1 200 OK\r\n\r\n", kind="revisit", more=http + "WARC-Refers-To: <gone>\r\nWARC-Payload-Digest: sha1:ABC\r\n"), record("e", "plain", kind="metadata"),
+    ])
+    (tmp_path / "x.warc").write_bytes(text.encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        got = {r.record_id: r for r in op6.read(spark, str(tmp_path / "x.warc"), "WARC/1.0\r\n").collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    sha = lambda x: base64.b32encode(hashlib.sha1(x.encode()).digest()).decode()
+    inner = record("no", "zz") * 9
+    assert {k: (r.payload_bytes, r.payload_digest, r.intact) for k, r in got.items()} == {
+        "<a>": (13, sha("software: x\r\n"), None), "<b>": (5, sha("hello"), None), "<c>": (len(inner), sha(inner), None), "<d>": (None, "ABC", None), "<e>": (5, sha("plain"), None),
+    }
+
+
+def test_a_third_of_all_pages_are_one(spark):
+    rows = [(i, "u", "hot page" if i % 3 else f"page {i} {EVIL if i % 2 else ''}") for i in range(600)]
+    got = op6.archive(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()
+    assert sum(r.record_type == "revisit" and r.refers_to == 1 for r in got) == 399 and all(r.intact for r in got) and len(got) == 600

@@ -8,22 +8,35 @@ record, so files are plain WARC, committed by Spark's protocol on any storage.
 
 Reading: the text reader splits files, in parallel, at every version line;
 each piece is a candidate record, also where a payload merely holds that line.
-Its byte offset is the running sum of the pieces before it in the file, and
-its header's Content-Length gives the offset of its successor. Per file,
-pointer jumping over these (offset, successor) pairs from the file's first
-byte keeps the reachable records only. Only offsets and header fields move, no
-payload; a file holds at most FILE_RECORDS records of our own writing.
+Its byte offset is a running sum of the pieces before it: in its split of the
+file, and of the splits before. Its header's Content-Length gives the offset of
+its successor. Pointer jumping is done on two levels, each of bounded tasks:
+within a split, every candidate learns where the chain from it leaves the
+split; then (file, offset, exit) rows are jumped by joins, in rounds that grow
+with the logarithm of a file's splits, from each file's first byte. So every
+split knows where the true chain enters it, and keeps what is reached from
+there. Only offsets, header fields and digests move, no payload: a payload is
+measured and hashed where it is read. Payloads that hold version lines are put
+together from their pieces, one record at a time.
+
+Digest and length are those of the bytes that were read, for a revisit those of
+the response that it refers to; `intact` tells whether the record's own header
+says the same. A response that the archives lack leaves a revisit's header
+figures, and intact null.
 
 Null html is the empty payload. Rows that share a payload's smallest page_id
 are all responses. A null page_id is the largest; where all are null, all are
-responses. Empty tables give no rows; other columns are ignored.
+responses. Empty tables give no rows; other columns are ignored; a very long
+payload is one value of the reader, whole.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import store
@@ -75,31 +88,55 @@ def write(pages: DataFrame, path: str, least: int = 0, id_col: str = "page_id",
 BROADCAST_ROWS = 500_000
 
 
-def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """Every piece of the files between version lines: where it stands, its length in bytes, its header fields."""
-    pieces = spark.read.option("lineSep", VERSION).text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i"), "value", F.col("_metadata.file_size").alias("file_size"),
-    )
-    head = F.substring_index("value", TAIL, 1)
-    whole = F.concat(F.lit("\r\n"), head, F.lit("\r\n"))
+def pieces(spark: SparkSession, path: str, version: str = VERSION) -> DataFrame:
+    """The text of the files between version lines, with its place: file, split, order in the split."""
+    return spark.read.option("lineSep", version).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i"), "value")
+
+
+def field(name: str, head: Column) -> Column:
+    """A header field, null if it is missing or empty."""
+    return F.nullif(F.regexp_extract(F.concat(F.lit("\r\n"), head, F.lit("\r\n")), rf"(?i)\r\n{name}:[ \t]*([^\r\n]*)\r\n", 1), F.lit(""))
 
-    def field(name: str) -> Column:
-        return F.nullif(F.regexp_extract(whole, rf"(?i)\r\n{name}:[ \t]*([^\r\n]*)\r\n", 1), F.lit(""))
 
-    inner = F.substring_index(F.col("value").substr(F.length(head) + len(TAIL) + 1, F.length("value")), TAIL, 1)
-    return pieces.select(
-        "file", "block", "i", "file_size", F.octet_length("value").alias("bytes"), (F.octet_length(head) + len(TAIL)).alias("head"), F.when(F.col("value").contains(TAIL), field("Content-Length").try_cast("long")).alias("length"),
-        field("WARC-Type").alias("type"), field("WARC-Record-ID").alias("record_id"), field("WARC-Payload-Digest").alias("digest"), field("WARC-Refers-To").alias("refers"),
-        F.regexp_extract(F.concat(F.lit("\r\n"), inner, F.lit("\r\n")), r"(?i)\r\nContent-Length:[ \t]*(\d+)\r\n", 1).try_cast("long").alias("payload_bytes"),
+def parsed(df: DataFrame) -> DataFrame:
+    """What a candidate's text (value) says: header fields, and length and digest of its payload if the text holds all of it."""
+    head = F.substring_index("value", TAIL, 1)
+    kind, length = field("WARC-Type", head), field("Content-Length", head).try_cast("long")
+    df = df.select(
+        *[c for c in df.columns if c != "value"], F.col("value").cast("binary").alias("bin"), F.octet_length("value").cast("long").alias("bytes"), (F.octet_length(head) + len(TAIL)).cast("long").alias("head"), F.when(F.col("value").contains(TAIL), length).alias("length"),
+        kind.alias("type"), field("WARC-Record-ID", head).alias("record_id"), F.regexp_extract(field("WARC-Payload-Digest", head), "sha1:(.*)", 1).alias("said"), field("WARC-Refers-To", head).alias("refers"), field("Content-Type", head).alias("content_type"),
     )
+    block = F.when(F.col("bytes") >= F.col("head") + F.col("length"), F.substring("bin", (F.col("head") + 1).cast("int"), F.col("length").cast("int")))
+    df = df.withColumn("content", block).drop("bin")
+    http = F.coalesce(F.col("content_type").startswith("application/http"), F.lit(False))
+    inner = F.substring_index(F.col("content").cast("string"), TAIL, 1)
+    payload = F.when(http, F.substring("content", F.octet_length(inner) + len(TAIL) + 1, 2**31 - 1)).otherwise(F.col("content"))
+    said_bytes = F.when(http, field("Content-Length", inner).try_cast("long"))
+    df = df.withColumns({"payload": payload, "said_bytes": said_bytes})
+    whole = F.col("content").isNotNull()
+    digest = F.when(whole & (F.col("type") != "revisit"), base32_sha1(F.col("payload")))
+    return df.withColumns({"whole": whole, "payload_bytes": F.when(F.col("type") == "revisit", F.col("said_bytes")).otherwise(F.octet_length("payload").cast("long")), "digest": digest}).drop("content", "payload", "content_type")
+
+
+def jumped(step: np.ndarray) -> np.ndarray:
+    """Where the chain from each node ends: step[k] is the next node, k itself at an end."""
+    while not np.array_equal(further := step[step], step):
+        step = further
+    return step
+
+
+def _steps(offset: np.ndarray, successor: np.ndarray) -> np.ndarray:
+    """The next candidate of each among those of one split (offsets sorted), itself where there is none."""
+    n = len(offset)
+    at = np.minimum(np.searchsorted(offset, successor), n - 1)
+    return np.where((offset[at] == successor) & (successor > offset), at, np.arange(n))
 
 
 def reachable(offset: np.ndarray, successor: np.ndarray, start: int) -> np.ndarray:
     """Pointer jumping: which offsets (sorted) the chain from start visits."""
     n = len(offset)
-    at = np.searchsorted(offset, successor)
-    step = np.where((at < n) & (offset[np.minimum(at, n - 1)] == successor), at, n)
-    step = np.append(step, n)
+    step = np.append(_steps(offset, successor), n)
+    step[:n] = np.where(step[:n] == np.arange(n), n, step[:n])
     seen = np.zeros(n + 1, bool)
     seen[:n] = offset == start
     jump = step
@@ -113,25 +150,89 @@ def reachable(offset: np.ndarray, successor: np.ndarray, start: int) -> np.ndarr
         seen = more
 
 
-def chain(p: pd.DataFrame) -> pd.DataFrame:
-    """The true records of one file, from its candidates."""
-    p = p.sort_values(["block", "i"], kind="stable", ignore_index=True)
-    size = p["bytes"].to_numpy(np.int64)
-    # a version line stands before every piece but the text before the file's first one
-    starts = np.concatenate([[0], np.cumsum(size + len(VERSION))[:-1]])
-    offset = starts - len(VERSION)
-    successor = np.where(p["length"].notna(), starts + p["head"] + p["length"].fillna(0) + len(TAIL), -1).astype(np.int64)
-    keep = reachable(offset, successor, 0)
-    out = p[keep]
-    return out[["type", "record_id", "digest", "refers", "payload_bytes"]].assign(file=out["file"], offset=offset[keep])
-
-
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to, file, offset of every true record."""
-    slim = candidates(spark, path)
-    records = slim.groupBy("file").applyInPandas(chain, "type string, record_id string, digest string, refers string, payload_bytes long, file string, offset long")
+FIELDS = "i long, length long, type string, record_id string, said string, refers string, said_bytes long, whole boolean, payload_bytes long, digest string"
+CHAINED = f"file string, block long, offset long, successor long, leaves long, {FIELDS}"
+_NAMES = [x.split()[0] for x in FIELDS.split(", ")]
+
+
+def _leave(version_bytes: int):
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        """The candidates of one split: their offsets, their successors, and where the chain from each leaves the split."""
+        p = p.sort_values("i", ignore_index=True)
+        size = p["bytes"].to_numpy(np.int64) + version_bytes
+        starts = int(p["base"].iloc[0]) + np.cumsum(size) - size
+        offset = starts - version_bytes
+        successor = np.where(p["length"].notna(), starts + p["head"] + p["length"].fillna(0) + len(TAIL), -1).astype(np.int64)
+        end = jumped(_steps(offset, successor))
+        return p[["file", "block"]].assign(offset=offset, successor=successor, leaves=successor[end], **{c: p[c] for c in _NAMES})
+
+    return run
+
+
+def _mark(p: pd.DataFrame) -> pd.DataFrame:
+    """The candidates of one split, whether they are true, and the last true record at or before each (-1: in an earlier split)."""
+    p = p.sort_values("offset", ignore_index=True)
+    offset = p["offset"].to_numpy(np.int64)
+    entry = p["entry"].iloc[0]
+    true = np.zeros(len(p), bool) if pd.isna(entry) else reachable(offset, p["successor"].to_numpy(np.int64), int(entry))
+    last = np.maximum.accumulate(np.where(true, offset, -1))
+    return p.drop(columns=["entry", "leaves"]).assign(real=true, owner=last)
+
+
+def chain(spark: SparkSession, path: str, version: str = VERSION) -> DataFrame:
+    """Every candidate of the files, with its offset, whether it is a true record (`real`), and the true record that holds it (`owner`)."""
+    slim = store.stage(parsed(pieces(spark, path, version)), "candidates")
+    splits = slim.groupBy("file", "block").agg(F.sum(F.col("bytes") + len(version)).alias("size"))
+    # one row a split
+    base = splits.select("file", "block", (F.sum("size").over(Window.partitionBy("file").orderBy("block")) - F.col("size")).alias("base"))
+    base = store.stage(base, "splits")
+    chained = store.stage(slim.join(base, ["file", "block"]).groupBy("file", "block").applyInPandas(_leave(len(version)), CHAINED), "chained")
+    # the second level: from a file's first byte, over the places where a chain leaves a split
+    most = base.groupBy("file").count().agg(F.max("count")).first()[0] or 0
+    entry = chained.where("offset = 0").select("file", "offset")
+    if most > 1:
+        doors = chained.select("file", F.col("leaves").alias("offset")).distinct().unionByName(entry).distinct()
+        jump = store.stage(chained.join(doors, ["file", "offset"]).select("file", "offset", F.col("leaves").alias("to")), "doors")
+        for _ in range(math.ceil(math.log2(most))):
+            entry = store.stage(entry.unionByName(entry.join(jump, ["file", "offset"]).select("file", F.col("to").alias("offset"))).distinct(), "entries")
+            onward = jump.select("file", F.col("offset").alias("to"), F.col("to").alias("further"))
+            jump = store.stage(jump.join(onward, ["file", "to"]).select("file", "offset", F.col("further").alias("to")), "doors")
+    entry = chained.join(entry, ["file", "offset"]).groupBy("file", "block").agg(F.min("offset").alias("entry"))
+    marked = chained.join(entry, ["file", "block"], "left").groupBy("file", "block").applyInPandas(_mark, CHAINED.replace("leaves long, ", "") + ", real boolean, owner long")
+    marked = store.stage(marked, "marked")
+    before = marked.groupBy("file", "block").agg(F.max("owner").alias("last"))
+    before = before.select("file", "block", F.max("last").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"))
+    return marked.join(before, ["file", "block"]).withColumn("owner", F.when(F.col("owner") >= 0, F.col("owner")).otherwise(F.col("earlier"))).drop("earlier")
+
+
+def read(spark: SparkSession, path: str, version: str = VERSION) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, intact, record_id, file, offset of every true record."""
+    every = chain(spark, path, version)
+    fields = ["type", "record_id", "said", "refers", "said_bytes", "payload_bytes", "digest", "file", "offset"]
+    records = every.where("real")
+    whole = records.where("whole").select(*fields)
+    # records whose text lies in several pieces: pieces are read again and put together, one record at a time
+    torn = store.stage(records.where("not whole and length is not null").select("file", F.col("offset").alias("owner")), "torn")
+    if torn.isEmpty():
+        found = whole
+    else:
+        parts = every.join(torn, ["file", "owner"]).select("file", "block", "i", "owner", "offset")
+        text = pieces(spark, path, version).join(F.broadcast(parts) if parts.count() <= BROADCAST_ROWS else parts, ["file", "block", "i"])
+        joined = text.groupBy("file", F.col("owner").alias("offset")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(text["offset"].alias("at"), "value"))), lambda x: x["value"]), version).alias("value"))
+        found = whole.unionByName(parsed(joined).select(*fields))
+    found = store.stage(found, "records")
     page = lambda c: F.regexp_extract(c, r"<urn:page:(-?\d+)>", 1).try_cast("long")
-    return records.select(page("record_id").alias("page_id"), "payload_bytes", F.regexp_extract("digest", "sha1:(.*)", 1).alias("payload_digest"), F.col("type").alias("record_type"), page("refers").alias("refers_to"), "file", "offset")
+    # the responses that revisits refer to: each once, however many do
+    asked = found.where("type = 'revisit'").select(F.col("refers").alias("record_id")).distinct()
+    named = found.where("type <> 'revisit'").join(asked, "record_id").groupBy(F.col("record_id").alias("refers")).agg(F.first("digest").alias("its"), F.first("payload_bytes").alias("its_bytes"))
+    named = store.stage(named, "responses")
+    out = found.join(F.broadcast(named) if named.count() <= BROADCAST_ROWS else named, "refers", "left")
+    digest, size = F.coalesce("digest", "its", "said"), F.coalesce(F.when(F.col("type") == "revisit", F.col("its_bytes")), F.col("payload_bytes"))
+    known = F.coalesce("digest", "its")
+    intact = (known == F.col("said")) & F.coalesce(size == F.col("said_bytes"), F.lit(True))
+    return out.select(
+        page("record_id").alias("page_id"), size.cast("long").alias("payload_bytes"), digest.alias("payload_digest"), F.col("type").alias("record_type"), page("refers").alias("refers_to"), intact.alias("intact"), "record_id", "file", "offset",
+    )
 
 
 def archive(pages: DataFrame, path: str | None = None, **options) -> DataFrame:

@@ -38,7 +38,7 @@ def op5_jaccard_join_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op6_warc.archive(table(spark, sf_dir, "pages")).drop("file", "offset")
+    return op6_warc.archive(table(spark, sf_dir, "pages")).drop("file", "offset", "record_id")
 
 
 def op7_mixing_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +68,7 @@ def _warc_sql() -> str:
     bits = [(f"('0x' || substr(h, {5 * g + 1}, 5))::BIGINT", s) for g in range(8) for s in (15, 10, 5, 0)]
     digest = " || ".join(f"substr('{op6_warc.BASE32}', (({v} >> {s}) & 31)::INT + 1, 1)" for v, s in bits)
     return f"""WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages), q AS (SELECT page_id, strlen(t) AS payload_bytes, sha1(t) AS h, min(page_id) OVER (PARTITION BY t) AS first_id FROM p)
-SELECT page_id, payload_bytes, {digest} AS payload_digest, CASE WHEN page_id = first_id OR first_id IS NULL THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to FROM q"""
+SELECT page_id, payload_bytes, {digest} AS payload_digest, CASE WHEN page_id = first_id OR first_id IS NULL THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to, true AS intact FROM q"""
 
 
 def oracle_sql() -> dict[str, str]:
