@@ -71,3 +71,24 @@ def test_ids_ties_nulls_and_pruned_reads(spark, tmp_path):
     assert [(r.doc_id, r.start, len(r.ids)) for r in back.orderBy("start").collect()] == [(None, 0, 2), (7, 2, 2), (7, 4, 2), (9, 6, 1)]
     assert [(r.doc_id, r.start) for r in op3.read_tokens(spark, str(tmp_path / "t"), low=8).collect()] == [(9, 6)]
     assert op3.encode_documents(rows(spark, []), path).count() == 0
+
+
+def test_hot_ids_are_dealt_over_files_and_ranges_read_only_theirs(spark, tmp_path):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = [(5, f"hot text {i}") for i in range(400)] + [(None, f"none {i}") for i in range(200)] + [(100 + i, f"text {i}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    op3.write_tokens(docs, str(tmp_path / "t"), path)
+    back = op3.read_tokens(spark, str(tmp_path / "t"))
+    found = sorted((r.start, r.doc_id, len(r.ids)) for r in back.collect())
+    at = 0
+    for start, _, n in found:
+        assert start == at
+        at += n
+    ids = [-1 if i is None else i for _, i, _ in found]
+    assert ids == sorted(ids) and len(ids) == 1000
+    parts = spark.read.orc(str(tmp_path / "t")).where("doc_id = 5").select(op3.part().alias("p")).distinct().count()
+    assert parts > 1
+    some = op3.read_tokens(spark, str(tmp_path / "t"), low=100, high=120)
+    assert sorted((r.start, r.doc_id, len(r.ids)) for r in some.collect()) == [x for x in found if x[1] is not None and 100 <= x[1] <= 120]
+    plan = some._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(doc_id,100)" in plan and "Aggregate" not in plan

@@ -4,12 +4,16 @@ Documents are range-partitioned by id, so each file holds one range of ids in
 order and its footer, stripe and row-group statistics prune by doc_id; the
 Bloom filter prunes point lookups. Each row holds its ids as array<int> (ORC
 encodes integers by run-length encoding v2), their number and the number of ids
-before it in its file. File totals, one small row a file, turn that into the place among
-all documents. Spark reads the files by stripes, in parallel.
+before it in its file. Beside the files stands a side table of one small row a
+file, with the ids before the file; it turns a place in a file into the place
+among all documents, so that reads of a range open no other file. The number of
+files follows the size of the input. Spark reads the files by stripes, in
+parallel.
 
 Null text is the empty text: its only id is the end id. Equal doc_ids are
-ordered by text; a null doc_id comes first. Empty tables give no rows. Other
-columns are ignored.
+ordered by a hash of the text, then by text, so that very many of one id are
+dealt over several files; a null doc_id comes first. Empty tables give no rows.
+Other columns are ignored. Very long texts are encoded whole.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import store
@@ -102,15 +106,19 @@ class Words:
         return b"".join(map(self.pieces, self.split(text.lower() if w.isascii() else self.normal(text))))
 
 
+#: Bytes of input for each file.
+FILE_BYTES = 64 << 20
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> None:
-    """Encode every text and write (doc_id, ids, n_before, n_tokens) files in ascending doc_id order."""
+    """Encode every text and write (doc_id, ids, n_before, n_tokens) files in ascending doc_id order, and their side table."""
 
-    def encode(batches):
+    def run(batches):
         kept = store.worker_cache("op3")
         words = kept.get(tokenizer_path) or kept.setdefault(tokenizer_path, Words(tokenizer_path))
         get, end, before = words.get, np.array([end_id], "<u4").tobytes(), 0
         for b in batches:
-            rows = [b"".join(map(get, (t or "").encode().split())) + end for t in b.column(1).to_pylist()]
+            rows = [b"".join(map(get, t.split())) + end if t else end for t in b.column(1).to_pylist()]
             n = np.array([len(r) // 4 for r in rows], np.int64)
             offsets = np.concatenate([[0], np.cumsum(n)])
             ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.frombuffer(b"".join(rows), "<i4")))
@@ -119,19 +127,32 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str =
 
     spark = docs.sparkSession
     store.small_batches(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ranges = rows.repartitionByRange(store.shuffle_partitions(spark), F.col("doc_id").asc_nulls_first())
-    ranges.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").mapInArrow(encode, "doc_id long, ids array<int>, n_before long, n_tokens long").write.options(**ORC).orc(path)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("text")]
+    ranges = rows.repartitionByRange(store.parts_by_size(docs, FILE_BYTES), *order[:2]).sortWithinPartitions(*order)
+    ranges.select("doc_id", "text").mapInArrow(run, ROWS).write.options(**ORC).orc(path)
+    # one row a file, each file a task's whole output: small at any size
+    data = spark.read.schema(ROWS).orc(path)
+    files = data.select(part().alias("part"), (F.col("n_before") + F.col("n_tokens")).alias("n")).groupBy("part").agg(F.max("n").alias("n"))
+    files.select("part", "n", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("file_start")).write.parquet(side_table(path))
+
+
+ROWS = "doc_id long, ids array<int>, n_before long, n_tokens long"
+
+
+def part() -> Column:
+    """The number of the file that a row is read from, by which files stand in order."""
+    return F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int")
+
+
+def side_table(path: str) -> str:
+    return f"{path.rstrip('/')}-files"
 
 
 def read_tokens(spark: SparkSession, path: str, low: int | None = None, high: int | None = None) -> DataFrame:
     """doc_id, ids, start (ids of all documents before it). low, high: only doc_ids within, pruned by ORC's indexes."""
-    data = spark.read.schema("doc_id long, ids array<int>, n_before long, n_tokens long").orc(path)
-    part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int")
-    files = data.select(part.alias("part"), (F.col("n_before") + F.col("n_tokens")).alias("n")).groupBy("part").agg(F.max("n").alias("n"))
-    # one row a file, each file a task's whole output: small at any size
-    places = files.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("file_start"))
-    rows = data.select("doc_id", "ids", "n_before", part.alias("part"))
+    places = spark.read.schema("part int, n long, file_start long").parquet(side_table(path)).select("part", "file_start")
+    rows = spark.read.schema(ROWS).orc(path).select("doc_id", "ids", "n_before", part().alias("part"))
     if low is not None:
         rows = rows.where(F.col("doc_id") >= low)
     if high is not None:
@@ -156,6 +177,6 @@ def digest(tokens: DataFrame) -> DataFrame:
 def encode_documents(docs: DataFrame, tokenizer_path: str, path: str | None = None) -> DataFrame:
     """Write docs' ids, read the files back, and return each document's digest."""
     spark = docs.sparkSession
-    path = path or store.fresh_path(spark, "tokens")
+    path = path or store.fresh_path(spark, "tokens") + "/ids"
     write_tokens(docs, path, tokenizer_path)
     return digest(read_tokens(spark, path))

@@ -50,6 +50,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def parts_by_size(df: DataFrame, each: int) -> int:
+    """Parts of about so many bytes of input each, by the optimiser's size of the plan; at least as many as shuffles have."""
+    n, size = shuffle_partitions(df.sparkSession), df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return max(n, min(100_000, int(size / each))) if size < 10**15 else n
+
+
 def parts_for(rows: int, each: int, least: int = 1) -> int:
     return max(least, math.ceil(rows / each))
 

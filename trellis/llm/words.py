@@ -58,9 +58,9 @@ class Scan:
     offset[i]:offset[i + 1] - 1 its bytes.
     """
 
-    def __init__(self, texts: list[str | None], lower: bool = False, table: np.ndarray | None = None):
+    def __init__(self, texts: list[str | bytes | None], lower: bool = False, table: np.ndarray | None = None):
         """lower: A-Z as a-z. table: what stands for each byte, a space where it belongs to no word."""
-        raw = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+        raw = [t if isinstance(t, bytes) else t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
         self.offset = np.zeros(len(raw) + 1, np.int64)
         np.cumsum([len(r) + 1 for r in raw], out=self.offset[1:])
         self.data = np.frombuffer(b" ".join([*raw, b""]) if raw else b"", np.uint8)
@@ -125,7 +125,7 @@ class Scan:
                 yield np.zeros(0, U64)
 
 
-def chunks(texts: list[str | None], size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def chunks(texts: list[str | bytes | None], size: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about so many characters together; a longer text makes a range of its own."""
     a, total = 0, 0
     for i, t in enumerate(texts):
