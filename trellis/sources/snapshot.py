@@ -1,7 +1,7 @@
 """Stored snapshots: an index is built once from its tables, sorted for lookups, and read by every query.
 
-A snapshot is known by what its input files are (path, size, time of change),
-so changed input gives a new one. It is written beside its place and moved
+A snapshot is known by what its input files are (path, size, time of change)
+and by the code that makes it, so a change of either gives a new one. It is written beside its place and moved
 there whole, so a reader never sees half of one, and two builders don't meet.
 """
 
@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
+from functools import lru_cache
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,8 +19,6 @@ from .. import workdir
 from ..schemas import Index
 
 Build = Callable[[SparkSession, str], Index]
-#: Layout of the stored tables; a change of it gives new snapshots.
-VERSION = 1
 #: Rows of a Parquet page group that lookups skip or read.
 ROW_GROUP = 8 << 20
 #: Table: its sort order. Ranges are cut over the whole order, so a name that holds a third of all rows spans many files.
@@ -36,7 +36,15 @@ def fingerprint(spark: SparkSession, sf_dir: str, tables: tuple[str, ...]) -> st
         p, fs = workdir.file_system(spark, f"{sf_dir}/{t}.parquet")
         for s in fs.listStatus(p) if fs.getFileStatus(p).isDirectory() else [fs.getFileStatus(p)]:
             found.append(f"{s.getPath()} {s.getLen()} {s.getModificationTime()}")
-    return hashlib.sha256("\n".join([str(VERSION), *sorted(found)]).encode()).hexdigest()[:16]
+    return hashlib.sha256("\n".join([_code(), *sorted(found)]).encode()).hexdigest()[:16]
+
+
+@lru_cache(1)
+def _code() -> str:
+    """Of the modules that make a snapshot: another version of them makes its own."""
+    root = Path(__file__).parent.parent
+    sources = sorted([*root.glob("functions/*.py"), *root.glob("sources/*.py"), root / "operators/resolve.py", root / "schemas.py"])
+    return hashlib.sha256(b"".join(p.read_bytes() for p in sources)).hexdigest()
 
 
 def save(ix: Index, path: str) -> None:
