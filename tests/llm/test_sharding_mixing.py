@@ -1,4 +1,6 @@
+import bisect
 import collections
+import hashlib
 import math
 import random
 import zlib
@@ -28,19 +30,45 @@ def smallest(sizes, shards):
     return hi
 
 
-def expected(rows, shards):
-    """Shard sizes' bound by brute force: groups alone, then the smallest capacity of the rest."""
+def in_order(rows):
+    """Groups by brute force, in their order: text, size."""
     groups = collections.OrderedDict()
-    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+    for _, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashlib.md5(r[1].encode()).hexdigest() if r[1] is not None else "null")):
         groups.setdefault(t, 0)
         groups[t] += len((t or "").encode()) + 16
-    rest, left, alone = sum(groups.values()), shards, set()
-    for t, s in sorted(groups.items(), key=lambda g: -g[1]):
-        if left == 1 or s * left <= rest:
+    return list(groups.items())
+
+
+def stretches_of(groups, shards):
+    """Stretches between groups that stand alone, and the shards left for them."""
+    rest, left, alone = sum(s for _, s in groups), shards, set()
+
+    def between(alone):
+        out = [[]]
+        for t, s in groups:
+            if t in alone:
+                out.append([])
+            else:
+                out[-1].append(s)
+        return [x for x in out if x]
+
+    for t, s in sorted(groups, key=lambda g: (-g[1], hashlib.md5(g[0].encode()).hexdigest() if g[0] is not None else "null")):
+        if left == 1 or s * left <= rest or len(between({*alone, t})) > left - 1:
             break
         alone.add(t)
         rest, left = rest - s, left - 1
-    return alone, [s for t, s in groups.items() if t not in alone], left
+    return alone, between(alone), left
+
+
+def needed(sizes, capacity):
+    used, room = 0, 0
+    for s in sizes:
+        if s > capacity:
+            return 10**9
+        if s > room:
+            used, room = used + 1, capacity
+        room -= s
+    return used
 
 
 @pytest.mark.parametrize("shards,read,seed", [(40, 4096, 1), (7, 8, 2), (3, 4, 3)])
@@ -64,9 +92,33 @@ def test_shards_are_minimax(spark, monkeypatch, shards, read, seed):
     for r in out:
         where[text_of[r.doc_id, r.text_crc32]].add(r.shard)
     assert all(len(x) == 1 for x in where.values())
-    alone, sizes, left = expected(rows, shards)
-    load = {s: sum(r.size for r in x) for s, x in by.items() if text_of[x[0].doc_id, x[0].text_crc32] not in alone}
-    assert max(load.values()) <= smallest(sizes, left)
+    groups = in_order(rows)
+    shard_of = [min(where[t]) for t, _ in groups]
+    assert shard_of == sorted(shard_of)  # every shard is a range of the order
+    load = {s: sum(r.size for r in x) for s, x in by.items()}
+    assert max(load.values()) == smallest([s for _, s in groups], shards)  # no cut of the order has a smaller largest shard
+    alone, between, left = stretches_of(groups, shards)
+    fewest = bisect.bisect_left(range(sum(s for _, s in groups) + 1), True, key=lambda c: sum(needed(x, c) for x in between) <= left)
+    if fewest <= max(load.values()):
+        assert max(v for s, v in load.items() if text_of[by[s][0].doc_id, by[s][0].text_crc32] not in alone) <= fewest
+        assert all(len({r.text_crc32 for r in x}) == 1 for x in by.values() if text_of[x[0].doc_id, x[0].text_crc32] in alone)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_cuts_of_random_orders(spark, monkeypatch, seed):
+    """Few and many shards, several large groups, in all places of the order."""
+    monkeypatch.setattr(op4, "READ", 8)
+    rng = random.Random(seed)
+    sizes = [rng.choice([1, 2, 3, 5, 8, 13] * 3 + [40, 90, 200]) for _ in range(rng.randrange(1, 60))]
+    upto, groups = 0, []
+    for s in sizes:
+        upto += s
+        groups.append((upto, s))
+    df = spark.createDataFrame(groups, "upto long, bytes long").coalesce(1).cache()
+    for shards in (1, 2, 7, 40):
+        ends = op4.plan_cuts(df, upto, sorted(groups, key=lambda g: (-g[1], g[0]))[: shards + 1], shards)
+        assert ends == sorted(set(ends)) and ends[-1] == upto and len(ends) <= shards and set(ends) <= {u for u, _ in groups}
+        assert max(b - a for a, b in zip([0, *ends], ends)) == smallest(sizes, shards)
 
 
 def test_sharding_small_and_empty(spark):

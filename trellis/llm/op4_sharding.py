@@ -1,11 +1,18 @@
 """Minimax contiguous partition of ordered atomic groups into shards, by DataFrame operations only.
 
 Groups are rows of equal text, ordered by their smallest doc_id (null first),
-then by digest; a group never crosses shards. A group that alone exceeds the
-mean of the shards left takes a shard of its own, largest first. Over the rest
-the smallest feasible capacity is found by binary search, each probe a greedy
-walk, and the sequence is cut so that no shard exceeds it; within that
-capacity the cuts are those nearest to even shares.
+then by digest; a group never crosses shards, and every shard is a contiguous
+range of that order. The smallest feasible capacity is found by binary search,
+each probe a greedy walk over the groups' prefix sums, and the sequence is cut
+so that no shard exceeds it: the largest shard is as small as it can be.
+
+Where single groups above the mean set that capacity, the others would be filled
+up to it and shards left empty. So a group above the mean of the shards left
+stands alone, largest first, as long as every stretch between such groups keeps
+a shard; the search is then done again for the stretches together (all of them
+in the shards left), and for each stretch with its number of shards, and the
+stretch is cut greedily at the capacity found. If standing alone made any shard
+larger than the first capacity, the cuts of the first search hold.
 
 Prefix sums of all groups stay distributed. The driver knows a few thousand of
 them at a time: on these a walk gives a sure yes (cuts only at known places)
@@ -14,7 +21,8 @@ aggregate reads the places between the two answers more finely, until the
 answers meet at exact neighbours. Rounds grow with the logarithm of the groups.
 
 Null text is a group of its own with size `overhead`. Equal rows share a group
-and get slots of their own. Fewer groups than shards leave shards empty. Other
+and get slots of their own. Groups of equal size are told apart by digest. Fewer
+groups than shards leave shards empty. Very long texts count whole. Other
 columns are ignored; an empty table gives no rows.
 """
 
@@ -32,11 +40,14 @@ SHARDS, OVERHEAD = 40, 16
 READ, HOT_PART = 4096, 1000
 
 
+Stretch = tuple[int, int]
+
+
 class Places:
     """Known prefix sums of group sizes, each with the one before it where that is known."""
 
-    def __init__(self, total: int, largest: int):
-        self.total, self.largest = total, largest
+    def __init__(self, total: int):
+        self.total = total
         self.before: dict[int, int | None] = {0: None, total: None}
         self.at = [0, total]
 
@@ -46,50 +57,52 @@ class Places:
             self.before.setdefault(upto - size, None)
         self.at = sorted(self.before)
 
-    def sure(self, c: int, capacity: int) -> int:
+    def sure(self, c: int, capacity: int, end: int) -> int:
         """The last known place within capacity of c."""
-        return self.at[bisect_right(self.at, c + capacity) - 1]
+        return self.at[bisect_right(self.at, min(c + capacity, end)) - 1]
 
-    def best(self, c: int, capacity: int) -> int:
+    def best(self, c: int, capacity: int, end: int) -> int:
         """No true place within capacity of c lies behind this."""
         t = c + capacity
-        if t >= self.total:
-            return self.total
+        if t >= end:
+            return end
         i = bisect_right(self.at, t)
         p, q = self.at[i - 1], self.at[i]
         return p if self.before[q] == p else t
 
-    def walk(self, capacity: int, shards: int, step) -> list[int]:
-        """Greedy cuts, as far as `shards` steps come."""
-        out, c = [], 0
-        for _ in range(shards):
-            n = step(c, capacity)
-            if n <= c:
+    def walk(self, stretch: Stretch, capacity: int, most: int, step) -> list[int]:
+        """Greedy cuts of a stretch, its end included, as far as `most` steps come."""
+        (c, end), out = stretch, []
+        while c < end and len(out) < most:
+            if (n := step(c, capacity, end)) <= c:
                 break
             out.append(c := n)
-            if c >= self.total:
-                break
         return out
 
-    def fits(self, capacity: int, shards: int, step) -> bool:
-        cuts = self.walk(capacity, shards, step)
-        return bool(cuts) and cuts[-1] >= self.total
+    def fits(self, stretches: list[Stretch], capacity: int, shards: int, step) -> bool:
+        left = shards
+        for s in stretches:
+            cuts = self.walk(s, capacity, left, step)
+            if not cuts or cuts[-1] < s[1]:
+                return False
+            left -= len(cuts)
+        return True
 
-    def bracket(self, low: int, high: int, shards: int) -> tuple[int, int]:
+    def bracket(self, stretches: list[Stretch], low: int, high: int, shards: int) -> tuple[int, int]:
         """The largest capacity known to fail and the smallest known to fit, between low (fails) and high (fits)."""
         a, b = low, high
         while b - a > 1:
             m = (a + b) // 2
-            a, b = (a, m) if self.fits(m, shards, self.sure) else (m, b)
+            a, b = (a, m) if self.fits(stretches, m, shards, self.sure) else (m, b)
         high, a = b, low
         while b - a > 1:
             m = (a + b) // 2
-            a, b = (a, m) if self.fits(m, shards, self.best) else (m, b)
+            a, b = (a, m) if self.fits(stretches, m, shards, self.best) else (m, b)
         return a, high
 
-    def unknown(self, windows: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    def unknown(self, windows: list[Stretch]) -> list[Stretch]:
         """Of each window the span (p, q] of the blocks in it that may hold several groups; touching spans merged."""
-        out: list[tuple[int, int]] = []
+        out: list[Stretch] = []
         for lo, hi in sorted(windows):
             i, span = max(0, bisect_left(self.at, lo) - 1), None
             while i + 1 < len(self.at) and self.at[i] <= hi:
@@ -120,43 +133,70 @@ def read_places(groups: DataFrame, blocks: list[tuple[int, int]], width: int) ->
     return [(r.m.upto, r.m.bytes) for r in found.collect()]
 
 
-def smallest_capacity(groups: DataFrame, total: int, largest: int, shards: int) -> tuple[int, Places]:
-    """The smallest capacity by which the groups (upto, bytes) fit into shards, and the places known then."""
-    places = Places(total, largest)
-    low, high = max(-(-total // shards), largest) - 1, total
-    width = max(1, total // READ)
-    places.add(read_places(groups, [(0, total)], width))
+def smallest_capacity(groups: DataFrame, places: Places, stretches: list[Stretch], shards: int, largest: int) -> int:
+    """The smallest capacity by which the groups (upto, bytes) of the stretches fit into shards; reads the places that it needs.
+
+    largest: no group of the stretches is larger.
+    """
+    size = sum(b - a for a, b in stretches)
+    low, high = -(-size // shards) - 1, max(b - a for a, b in stretches)
+    width = max(1, size // READ)
     while True:
-        low, high = places.bracket(low, high, shards)
+        low, high = places.bracket(stretches, low, high, shards)
         if high - low <= 1:
-            return high, places
-        early, late = [0], [0]
-        for _ in range(shards - 1):
-            early.append(max(places.sure(early[-1], low + 1), min(total, early[-1] + low + 1 - largest)))
-            late.append(places.best(late[-1], high))
-        blocks = places.unknown(list(zip(early[1:], late[1:])))
+            return high
+        windows = []
+        for a, b in stretches:
+            early = late = a
+            for _ in range(shards):
+                early = max(places.sure(early, low + 1, b), min(b, early + max(0, low + 1 - largest)))
+                late = places.best(late, high, b)
+                windows.append((early, late))
+                if early >= b:
+                    break
+        blocks = places.unknown(windows)
         width = finer(blocks, width)
         places.add(read_places(groups, blocks, width))
 
 
-def even_cuts(places: Places, capacity: int, shards: int) -> list[int]:
-    """Cuts within capacity, each the known place nearest to an even share of what is left."""
-    latest = places.walk(capacity, shards, places.sure)
-    latest += [places.total] * (shards - len(latest))
-    earliest, c = [places.total], places.total
-    for _ in range(shards - 1):
-        c = places.at[bisect_left(places.at, max(0, c - capacity))]
-        earliest.append(c)
-    earliest = earliest[::-1]
-    cuts, c = [], 0
-    for k in range(shards - 1):
-        goal = c + (places.total - c) / (shards - k)
-        lo, hi = max(c, earliest[k]), min(places.sure(c, capacity), latest[k])
-        i = bisect_left(places.at, goal)
-        near = [x for x in places.at[max(0, i - 1) : i + 1] if lo <= x <= hi]
-        c = min(near, key=lambda x: abs(x - goal)) if near else (lo if goal < lo else hi)
-        cuts.append(c)
-    return cuts
+def plan_cuts(groups: DataFrame, total: int, large: list[tuple[int, int]], shards: int) -> list[int]:
+    """The end of each shard in use, in order. large: (upto, bytes) of the largest groups, at least as many as shards or all, the largest first."""
+    places = Places(total)
+    places.add(large)
+    places.add(read_places(groups, [(0, total)], max(1, total // READ)))
+    whole = [(0, total)]
+    capacity = smallest_capacity(groups, places, whole, shards, large[0][1])
+    plain = places.walk(whole[0], capacity, shards, places.sure)
+
+    alone: list[Stretch] = []
+    stretches, rest = whole, total
+    for upto, size in large:
+        left = shards - len(alone)
+        if left == 1 or size * left <= rest:
+            break
+        tried = sorted([*alone, (upto - size, upto)])
+        between = [(a, b) for a, b in zip([0, *(e for _, e in tried)], [*(s for s, _ in tried), total]) if b > a]
+        if len(between) > left - 1:
+            break
+        alone, stretches, rest = tried, between, rest - size
+    if not alone:
+        return plain
+    left, others = shards - len(alone), [size for upto, size in large if (upto - size, upto) not in alone]
+    if not stretches:
+        return [e for _, e in alone]
+    largest = others[0] if others else 1
+    shared = smallest_capacity(groups, places, stretches, left, largest)
+    if shared > capacity:
+        return plain
+    # each stretch has the shards that it needs; more go where a shard holds most
+    needs = [len(places.walk(s, shared, left, places.sure)) for s in stretches]
+    for _ in range(left - sum(needs)):
+        i = max(range(len(stretches)), key=lambda k: (stretches[k][1] - stretches[k][0]) / needs[k])
+        needs[i] += 1
+    ends = [e for _, e in alone]
+    for s, n in zip(stretches, needs):
+        ends += places.walk(s, smallest_capacity(groups, places, [s], n, largest), n, places.sure)
+    return sorted(ends)
 
 
 def assign(docs: DataFrame, shards: int = SHARDS, overhead: int = OVERHEAD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -175,33 +215,14 @@ def assign(docs: DataFrame, shards: int = SHARDS, overhead: int = OVERHEAD, id_c
     if not sums.n:
         return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
-    # groups above the mean of what is left: at most one a shard
-    alone: list[str] = []
-    rest, left = sums.total, shards
-    for r in groups.orderBy(F.desc("bytes"), "gkey").limit(shards).collect():
-        if left == 1 or r.bytes * left <= rest:
-            break
-        alone.append(r.gkey)
-        rest, left = rest - r.bytes, left - 1
     # two-level prefix sums: within each range part, then over the parts (one row a part)
-    counted = F.when(F.col("gkey").isin(alone), F.lit(0)).otherwise(F.col("bytes")) if alone else F.col("bytes")
-    own = groups.withColumn("bytes", counted.cast("long"))
-    parts = own.groupBy("part").agg(F.sum("bytes").alias("in_part")).select("part", (F.sum("in_part").over(Window.orderBy("part")) - F.col("in_part")).alias("before"))
-    upto = own.withColumn("upto", F.sum("bytes").over(Window.partitionBy("part").orderBy(*ordered))).join(F.broadcast(parts), "part").withColumn("upto", F.col("upto") + F.col("before"))
+    parts = groups.groupBy("part").agg(F.sum("bytes").alias("in_part")).select("part", (F.sum("in_part").over(Window.orderBy("part")) - F.col("in_part")).alias("before"))
+    upto = groups.withColumn("upto", F.sum("bytes").over(Window.partitionBy("part").orderBy(*ordered))).join(F.broadcast(parts), "part").withColumn("upto", F.col("upto") + F.col("before"))
     upto = store.stage(upto.select("gkey", "n", "bytes", "upto"), "prefix-sums")
-    largest = upto.agg(F.max("bytes")).first()[0]
-    cuts: list[int] = []
-    if rest:
-        capacity, places = smallest_capacity(upto, rest, largest, left)
-        share = rest // left
-        if blocks := places.unknown([(k * share - share // 64, k * share + share // 64) for k in range(1, left)]):
-            places.add(read_places(upto, blocks, finer(blocks, rest)))
-        cuts = even_cuts(places, capacity, left)
-    shard = F.lit(len(alone))
-    for c in cuts:
+    large = [(r.upto, r.bytes) for r in upto.where("bytes > 0").orderBy(F.desc("bytes"), "gkey").limit(shards + 1).collect()]
+    shard = F.lit(0)
+    for c in plan_cuts(upto, sums.total, large, shards)[:-1] if large else []:
         shard = shard + (F.col("upto") > c).cast("int")
-    for i, g in enumerate(alone):
-        shard = F.when(F.col("gkey") == g, i).otherwise(shard)
     shard_of = upto.select("gkey", "n", shard.cast("int").alias("shard"))
 
     hot = shard_of.where(F.col("n") > F.lit(sums.n // HOT_PART)).select("gkey", "shard")
