@@ -51,9 +51,10 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def parts_by_size(df: DataFrame, each: int) -> int:
-    """Parts of about so many bytes of input each, by the optimiser's size of the plan; at least as many as shuffles have."""
-    n, size = shuffle_partitions(df.sparkSession), df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return max(n, min(100_000, int(size / each))) if size < 10**15 else n
+    """Parts of about so many bytes of input each, by the size of the tables that are read (a projection would be guessed too small); at least as many as shuffles have."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    n, size = shuffle_partitions(df.sparkSession), sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    return max(n, min(100_000, size // each)) if size < 10**15 else n
 
 
 def parts_for(rows: int, each: int, least: int = 1) -> int:
