@@ -235,4 +235,4 @@ def _one_block(rows: DataFrame, items: Items, least: float) -> DataFrame:
                     [ids.slice(x, y - x).take(pa.array(doc, pa.int64())), pa.array([known.ids[i] for i in item], pa.int64()), pa.array(value, pa.float64()), pa.array(end, pa.int64())], ["doc_id", "item_id", "score", "end_word"]
                 )
 
-    return rows.mapInArrow(score, SCHEMA)
+    return rows.mapInArrow(store.trimmed(score), SCHEMA)

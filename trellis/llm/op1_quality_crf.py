@@ -354,7 +354,7 @@ def rate(docs: DataFrame, chain: Chain, least_share: float = LEAST_SHARE, id_col
                 yield pa.RecordBatch.from_arrays([ids.slice(a, z - a), *judge(texts[a:z], shared.value, least_share)], names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(store.trimmed(run), SCHEMA)
 
 
 def keep(docs: DataFrame, chain: Chain, least_share: float = LEAST_SHARE, text_col: str = "text") -> DataFrame:
@@ -371,4 +371,4 @@ def keep(docs: DataFrame, chain: Chain, least_share: float = LEAST_SHARE, text_c
             for a, z in chunks(texts):
                 yield b.slice(a, z - a).filter(judge(texts[a:z], shared.value, least_share)[6])
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(store.trimmed(run), docs.schema)

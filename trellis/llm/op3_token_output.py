@@ -76,7 +76,7 @@ class Words:
     cache; a word with a special token in it goes through the whole encoder.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached: int = CACHED):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -86,8 +86,8 @@ class Words:
         self.special = [t["content"].encode() for t in rules["added_tokens"]]
         self.split = regex.compile(rules["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
         self.letters = _byte_letters()
-        self.pieces = Recent(self.piece, CACHED).__getitem__
-        self.get = Recent(self.word, CACHED).__getitem__
+        self.pieces = Recent(self.piece, cached).__getitem__
+        self.get = Recent(self.word, cached).__getitem__
 
     def piece(self, p: str) -> bytes:
         spelt = p if p.isascii() and p.isprintable() else "".join([self.letters[b] for b in p.encode()])
@@ -110,12 +110,12 @@ class Words:
 FILE_BYTES = 64 << 20
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, cached: int = CACHED) -> None:
     """Encode every text and write (doc_id, ids, n_before, n_tokens) files in ascending doc_id order, and their side table."""
 
     def run(batches):
         kept = store.worker_cache("op3")
-        words = kept.get(tokenizer_path) or kept.setdefault(tokenizer_path, Words(tokenizer_path))
+        words = kept.get(tokenizer_path) or kept.setdefault(tokenizer_path, Words(tokenizer_path, cached))
         get, end, before = words.get, np.array([end_id], "<u4").tobytes(), 0
         for b in batches:
             rows = [b"".join(map(get, t.split())) + end if t else end for t in b.column(1).to_pylist()]
@@ -130,7 +130,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("text")]
     ranges = rows.repartitionByRange(store.parts_by_size(docs, FILE_BYTES), *order[:2]).sortWithinPartitions(*order)
-    ranges.select("doc_id", "text").mapInArrow(run, ROWS).write.options(**ORC).orc(path)
+    ranges.select("doc_id", "text").mapInArrow(store.trimmed(run), ROWS).write.options(**ORC).orc(path)
     # one row a file, each file a task's whole output: small at any size
     data = spark.read.schema(ROWS).orc(path)
     files = data.select(part().alias("part"), (F.col("n_before") + F.col("n_tokens")).alias("n")).groupBy("part").agg(F.max("n").alias("n"))
@@ -174,9 +174,9 @@ def digest(tokens: DataFrame) -> DataFrame:
     return tokens.select("doc_id", "start", "ids").mapInArrow(check, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def encode_documents(docs: DataFrame, tokenizer_path: str, path: str | None = None) -> DataFrame:
-    """Write docs' ids, read the files back, and return each document's digest."""
+def encode_documents(docs: DataFrame, tokenizer_path: str, path: str | None = None, cached: int = CACHED) -> DataFrame:
+    """Write docs' ids, read the files back, and return each document's digest. cached: entries of a worker's caches, which bound its memory."""
     spark = docs.sparkSession
     path = path or store.fresh_path(spark, "tokens") + "/ids"
-    write_tokens(docs, path, tokenizer_path)
+    write_tokens(docs, path, tokenizer_path, cached=cached)
     return digest(read_tokens(spark, path))

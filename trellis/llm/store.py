@@ -23,6 +23,27 @@ _caches: dict[str, dict] = {}
 _owner: str | None = None
 
 
+def trim() -> None:
+    """Give memory that is free in this worker back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # a C library without it
+        pass
+
+
+def trimmed(run):
+    """run over batches; when a task's are done its worker, which waits for the next task, keeps no free memory."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return wrapped
+
+
 def worker_cache(owner: str) -> dict:
     """This worker's cache for an operator; what another operator left in the same worker is released, also to the system."""
     global _owner
@@ -30,11 +51,7 @@ def worker_cache(owner: str) -> dict:
         for kept in _caches.values():
             kept.clear()
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except AttributeError:  # a C library without it
-            pass
+        trim()
         _owner = owner
     return _caches.setdefault(owner, {})
 
