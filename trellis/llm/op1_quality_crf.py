@@ -34,6 +34,8 @@ from . import store
 from .words import Scan, chunks
 
 SAMPLE, SAMPLE_LINES = 3000, 100
+#: Characters that are scanned at once.
+SCAN = 1 << 19
 WINDOW, LEAST_WORDS, MOST_REPEATED = 5, 10, 20
 LEAST_SHARE = 0.5
 WHITE = " \t\n\x0b\x0c\r"
@@ -308,6 +310,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("q", "text")
 
     def measure(batches):
+        store.worker_cache("op1")
         for b in batches:
             for q, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 f = scan([t]).features
@@ -315,7 +318,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
                 f = f[a : a + SAMPLE_LINES]  # neighbours, as the chain needs them
                 yield pa.RecordBatch.from_arrays([pa.array([q], pa.int32()), pa.array([f.astype("<f4").tobytes()], pa.binary())], ["q", "f"])
 
-    rows = texts.mapInArrow(measure, "q int, f binary").collect()
+    rows = texts.mapInArrow(store.trimmed(measure), "q int, f binary").collect()
     return train(sorted(((r.q, np.frombuffer(r.f, "<f4").reshape(-1, len(FEATURES)).astype(float)) for r in rows), key=lambda d: (d[0], d[1].tobytes())))
 
 
@@ -350,7 +353,7 @@ def rate(docs: DataFrame, chain: Chain, least_share: float = LEAST_SHARE, id_col
         store.worker_cache("op1")
         for b in batches:
             ids, texts = b.column(0), b.column(1).to_pylist()
-            for a, z in chunks(texts):
+            for a, z in chunks(texts, SCAN):
                 yield pa.RecordBatch.from_arrays([ids.slice(a, z - a), *judge(texts[a:z], shared.value, least_share)], names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -368,7 +371,7 @@ def keep(docs: DataFrame, chain: Chain, least_share: float = LEAST_SHARE, text_c
         store.worker_cache("op1")
         for b in batches:
             texts = b.column(at).to_pylist()
-            for a, z in chunks(texts):
+            for a, z in chunks(texts, SCAN):
                 yield b.slice(a, z - a).filter(judge(texts[a:z], shared.value, least_share)[6])
 
     return docs.mapInArrow(store.trimmed(run), docs.schema)
