@@ -33,7 +33,7 @@ from . import store
 
 END_ID = 2
 #: Entries of each of the two generations of a worker's word cache and piece cache; longer words are never kept.
-CACHED, LONGEST_KEPT = 450_000, 64
+CACHED, LONGEST_KEPT = 700_000, 64
 #: Marks that end a word without joining what stands before (an apostrophe may).
 STOPS = ".,;:!?"
 ORC = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20)}
