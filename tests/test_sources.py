@@ -1,7 +1,10 @@
 import os
+import re
 import subprocess
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from trellis.operators import graph, lookup
 from trellis import errors
@@ -197,3 +200,54 @@ def test_stream_of_changes(spark, tmp_path):
 
     upsert.follow(spark.readStream.schema(schema).parquet(str(src)), str(tmp_path / "ck"), apply).awaitTermination(60)
     assert {(r.file_path, r.text) for r in state["table"].collect()} == {("a", "newest"), ("b", "keep"), ("c", "add")}
+
+
+def test_scan_of_texts(spark):
+    from trellis.sources import scan
+
+    texts = ["", None, "alpha\n", "end", "next 3x é _y\r\n\n  two_words, zwei\nalpha 9 beta alpha\n\n", "ß\n" * 3 + "x" * 70, "a b\nb a\nc\nb c a"] * 3
+    files = spark.createDataFrame([(i, f"f{i}", "rust", t) for i, t in enumerate(texts)], "doc_id long, file_path string, language string, text string").coalesce(1)
+    tokens, defined, used = [], [], set()
+    for i, t in enumerate(texts):
+        parts = (t or "").split("\n")
+        lines = {n: [(m[0].decode(), m.start() + 1) for m in re.finditer(rb"[A-Za-z0-9_]+", x.encode()) if not m[0][:1].isdigit()] for n, x in enumerate(parts, 1)}
+        heads = {n: x[0] for n, x in lines.items() if x}
+        count = len(parts) - (parts[-1] == "")
+        tokens += [(f"f{i}", s, n, c, k > 0) for n, x in lines.items() for k, (s, c) in enumerate(x)]
+        defined += [(i, s, n, c, min([m for m in heads if m > n], default=count + 1) - 1) for n, (s, c) in heads.items()]
+        for n, x in lines.items():
+            for s, _ in x[1:]:
+                to = min((m % 5 == 4, m) for m, h in heads.items() if h[0] == s)[1] if any(h[0] == s for h in heads.values()) else None
+                used |= {(i, s, n, to)} if to != n else set()
+    got = [tuple(r) for r in scan.tokens(files).collect()]
+    assert sorted(got) == sorted(tokens) and got == sorted(got, key=lambda r: (r[1], r[0], r[2], r[3]))
+    assert sorted(tuple(r) for r in scan.definitions(files).select("doc_id", "symbol", "start_line", "start_column", "end_line").collect()) == sorted(defined)
+    found = [tuple(r) for r in scan.uses(files).select("doc_id", "symbol", "line", "to_line").collect()]
+    assert len(found) == len(used) and set(found) == used
+
+
+def test_snapshot_of_documents_holds_neither_texts_nor_references_again(spark, tmp_path):
+    from trellis.operators import lookup
+    from trellis.sources import snapshot
+
+    sf, place = str(tmp_path), str(tmp_path / "index")
+    spark.createDataFrame([(i, "alpha beta gamma\nbeta alpha alpha", "en", "s", 1) for i in range(1, 30)], "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{sf}/documents.parquet")
+    ix = snapshot.build(spark, sf, "corpus", adapters.CORPUS_TABLES, adapters.corpus_index, place)
+    assert not (tmp_path / "index/references").exists() and "text" not in ix.files.columns
+    assert ix.tokens.count() == 6 * 29 and ix.references.count() == 3 * 29 and ix.tokens.columns == ix.references.columns
+    assert [r.snippet for r in lookup.snippets(adapters.corpus(spark, sf), "beta").collect()] == ["beta alpha alpha"] * 29
+
+
+def test_written_tables_leave_no_shuffle_files(spark, tmp_path):
+    from trellis import workdir
+
+    def kept():
+        return {f for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if f.endswith(".data")}
+
+    before = kept()
+    workdir.write(spark.range(1000).groupBy((F.col("id") % 100).alias("k")).count(), str(tmp_path / "groups"))
+    for _ in range(50):  # they go in the background
+        if not (left := kept() - before):
+            break
+        time.sleep(0.2)
+    assert not left and spark.read.parquet(str(tmp_path / "groups")).count() == 100

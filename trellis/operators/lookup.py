@@ -182,7 +182,7 @@ def edge_counts(ix: Index, symbol: str, with_snippet: bool = False) -> DataFrame
     out = mine.join(inbound, "symbol_id", "left").join(outbound, "symbol_id", "left")
     more = []
     if with_snippet:
-        out = out.join(picked(ix.files, "file_path", mine.select("file_path")).select("file_path", "text"), "file_path", "left")
+        out = out.join(ix.texts(mine.select("file_path")), "file_path", "left")
         more = [tx.snippet(F.col("text"), F.col("start_line"), F.col("end_line")).alias("snippet")]
     out = out.select(
         "symbol", qualified().alias("qualified_symbol"), "kind", "language", "file_path", "start_line", "start_column", "end_line", "end_column", "signature", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts],
@@ -198,7 +198,7 @@ def qualified() -> Column:
 
 def snippets(ix: Index, symbol: str, context: int = 0) -> DataFrame:
     named = ix.symbols.where(F.col("symbol") == symbol)
-    found = named.join(picked(ix.files, "file_path", named.select("file_path")).select("file_path", "text"), "file_path")
+    found = named.join(ix.texts(named.select("file_path")), "file_path")
     part = tx.snippet(F.col("text"), F.col("start_line"), F.col("end_line"), context)
     return found.select("symbol", "kind", "file_path", "start_line", "end_line", part.alias("snippet"), "signature").where("snippet is not null").orderBy("file_path", "start_line", "kind", "end_line")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -28,6 +29,7 @@ class Index:
 
     A stored snapshot also has its edges sorted by source (outgoing), its
     distinct token names (names) and its symbols sorted by id and by file.
+    texts gives the text of files (file_path), where files has none.
     """
 
     files: DataFrame
@@ -39,12 +41,14 @@ class Index:
     names: DataFrame | None = None
     by_id: DataFrame | None = None
     by_file: DataFrame | None = None
+    texts: Callable[[DataFrame], DataFrame] | None = None
 
     def __post_init__(self) -> None:
         self.outgoing = self.edges if self.outgoing is None else self.outgoing
         self.names = self.tokens.select("symbol").distinct() if self.names is None else self.names
         self.by_id = self.symbols if self.by_id is None else self.by_id
         self.by_file = self.symbols if self.by_file is None else self.by_file
+        self.texts = self.texts or (lambda wanted: picked(self.files, "file_path", wanted).select("file_path", "text"))
 
 
 def picked(df: DataFrame, column: str, values: DataFrame) -> DataFrame:

@@ -53,8 +53,12 @@ def save(ix: Index, path: str) -> None:
     n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     for name, order in LAYOUT.items():
         df: DataFrame = getattr(ix, name)
-        parts = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-        parts.write.mode("overwrite").option("parquet.block.size", ROW_GROUP).parquet(f"{path}/{name}")
+        local = "refers" in ix.tokens.columns
+        if name == "references" and local:
+            continue
+        # tokens that know what refers come from the scan in long sorted runs, so a lookup reads some pages of each file
+        parts = df if name == "tokens" and local else df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+        workdir.write(parts, f"{path}/{name}", compression="zstd", **{"parquet.block.size": ROW_GROUP})
         if name in ("tokens", "symbols", "references", "edges"):
             _reuse(ix, name, spark.read.schema(df.schema).parquet(f"{path}/{name}"))
 
@@ -71,7 +75,13 @@ def _reuse(ix: Index, name: str, stored: DataFrame) -> None:
 
 
 def load(spark: SparkSession, path: str) -> Index:
-    return Index(**{t: spark.read.parquet(f"{path}/{t}") for t in LAYOUT})
+    tables = {t: spark.read.parquet(f"{path}/{t}") for t in LAYOUT if t != "references"}
+    tokens = tables["tokens"]
+    if "refers" in tokens.columns:
+        tables |= {"tokens": tokens.drop("refers"), "references": tokens.where("refers").drop("refers")}
+    else:
+        tables["references"] = spark.read.parquet(f"{path}/references")
+    return Index(**tables)
 
 
 def build(spark: SparkSession, sf_dir: str, name: str, tables: tuple[str, ...], make: Build, path: str | None = None) -> Index:
