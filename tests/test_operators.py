@@ -292,3 +292,17 @@ def test_lookups_push_their_names_to_the_stored_index(spark, sf):
     assert "EqualTo(symbol,The)" in plan and "regexp_extract" not in plan
     plan = queries.queries()["impact"](spark, sf)._jdf.queryExecution().toString()
     assert "PushedFilters: [In(to_symbol_id" in plan or "PushedFilters: [IsNotNull(to_symbol_id), EqualTo(to_symbol_id" in plan
+
+
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_cycle_edges_are_not_sorted_with_their_lists(spark, monkeypatch, most):
+    monkeypatch.setattr(graph, "LISTS", most)
+    files = ["src/z", "src/a", "src/a+b", "src/m", "src/n", "src/o"]
+    ix = index(spark, [(i, f, f"s{i}", "function", 1, 5) for i, f in enumerate(files)], [(0, 1, "calls", 1.0, "x"), (1, 0, "calls", 1.0, "x"), (2, 3, "calls", 1.0, "x"), (3, 2, "imports", 1.0, "x"), (4, 5, "calls", 1.0, "x")])
+    out = graph.cycle_edges(ix)
+    assert [tuple(r) for r in out.collect()] == [
+        ("src/a+b,src/m", "src/a+b", "s2", "src/m", "s3", "calls"), ("src/a+b,src/m", "src/m", "s3", "src/a+b", "s2", "imports"),
+        ("src/a,src/z", "src/a", "s1", "src/z", "s0", "calls"), ("src/a,src/z", "src/z", "s0", "src/a", "s1", "calls"),
+    ]
+    keys = [line for line in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Sort [" in line and "true" in line]
+    assert keys and not any("files#" in line.split("]")[0] for line in keys)

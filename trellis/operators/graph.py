@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import workdir
@@ -13,6 +13,8 @@ from .lookup import first_by, path_filter, qualified
 
 #: Distinct file edges (two paths each) that one task searches for strong components; more are coloured on the cluster.
 ONE_TASK = 200_000
+#: Up to so many bytes of cycles' lists of files are handed to all tasks at once.
+LISTS = 16 << 20
 
 
 def _ends(symbols: DataFrame, prefix: str, *columns: str) -> DataFrame:
@@ -337,9 +339,22 @@ def circular(ix: Index, longest: int = 10) -> DataFrame:
 
 
 def cycle_edges(ix: Index, longest: int = 10) -> DataFrame:
-    """The edges of each cycle of circular: a row each, with the files of its cycle."""
+    """The edges of each cycle of circular: a row each, with the files of its cycle.
+
+    A cycle's list of files is as long as the cycle, so rows carry the cycle's
+    number through the sort (whose keys are sampled on the driver) and get the
+    list after it. All lists name each file once: up to LISTS bytes, counted,
+    one scalar holds them; beyond, they are joined and shuffled with the rows.
+    """
     sized, inside = _cycles(ix, longest)
-    out = inside.join(sized, "component").select(
-        "n_files", F.array_join("files", ",").alias("files"), F.col("src_file_path").alias("from_file"), F.col("src_symbol").alias("from_symbol"), F.col("dst_file_path").alias("to_file"), F.col("dst_symbol").alias("to_symbol"), "edge_kind",
+    cycles = workdir.stage(sized.select("component", "n_files", F.array_join("files", ",").alias("files")), "cycles")
+    numbered = workdir.stage(cycles.withColumn("n", F.row_number().over(Window.orderBy("n_files", "files"))).select("component", "n", "files"), "cycles")
+    few = (numbered.agg(F.sum(F.octet_length("files"))).first()[0] or 0) <= LISTS
+    rows = inside.join(numbered if not few else numbered.drop("files"), "component").select(
+        "n", *([] if few else ["files"]), F.col("src_file_path").alias("from_file"), F.col("src_symbol").alias("from_symbol"), F.col("dst_file_path").alias("to_file"), F.col("dst_symbol").alias("to_symbol"), "edge_kind",
     )
-    return out.orderBy("n_files", "files", "from_file", "from_symbol", "to_file", "to_symbol", "edge_kind").drop("n_files")
+    files = F.col("files")
+    if few:
+        lists = numbered.agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "files"))), lambda x: x["files"]).alias("lists"))
+        files = F.element_at(lists.scalar(), F.col("n"))
+    return rows.orderBy("n", "from_file", "from_symbol", "to_file", "to_symbol", "edge_kind").select(files.alias("files"), "from_file", "from_symbol", "to_file", "to_symbol", "edge_kind")
