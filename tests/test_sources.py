@@ -1,5 +1,6 @@
 import os
 import re
+import shutil
 import subprocess
 import time
 
@@ -251,3 +252,30 @@ def test_written_tables_leave_no_shuffle_files(spark, tmp_path):
             break
         time.sleep(0.2)
     assert not left and spark.read.parquet(str(tmp_path / "groups")).count() == 100
+
+
+def written(spark):
+    """Bytes that shuffles have written so far."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    return sc.statusStore().executorList(True).head().totalShuffleWrite()
+
+
+@pytest.fixture(scope="module")
+def stored(spark, tmp_path_factory):
+    """A copy of the documents, its size, and what was shuffled to store their snapshot."""
+    sf = tmp_path_factory.mktemp("documents")
+    shutil.copy("/root/testdata/sf0.01/documents.parquet", sf)
+    before = written(spark)
+    adapters.corpus(spark, str(sf))
+    return str(sf), (sf / "documents.parquet").stat().st_size, written(spark) - before
+
+
+@pytest.mark.parametrize("name", ["circular_corpus"])
+def test_queries_of_documents_shuffle_less_than_their_budget_of_disk(spark, stored, name):
+    from trellis.plans.queries import queries
+
+    sf, size, snapshot = stored
+    before = written(spark)
+    assert queries()[name](spark, sf).collect()
+    assert snapshot + written(spark) - before < 4 * size
