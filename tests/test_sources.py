@@ -271,7 +271,7 @@ def stored(spark, tmp_path_factory):
     return str(sf), (sf / "documents.parquet").stat().st_size, written(spark) - before
 
 
-@pytest.mark.parametrize("name", ["circular_corpus", "context_full", "dead_aggressive", "refs_text_fallback", "dead_conservative", "explain_snippet", "move_check"])
+@pytest.mark.parametrize("name", ["circular_corpus", "context_full", "dead_aggressive", "refs_text_fallback", "dead_conservative", "explain_snippet", "move_check", "context_direct"])
 def test_queries_of_documents_shuffle_less_than_their_budget_of_disk(spark, stored, name):
     from trellis.plans.queries import queries
 
